@@ -3,7 +3,8 @@
 Parents and children come together in one tagged long form, which is grouped by
 parent table and key.  The groups are small summaries, combined before the
 shuffle, so a key that holds a third of all rows costs no more than any other.
-Only groups that can hold an orphan at all are joined back to their references.
+Keys of ordinary size are grouped where they are, in one shuffle.  Of hot keys only
+the groups that can hold an orphan at all are joined back to their references.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ KEY = ["paper_name", "catalyst_id", "key"]
 #: Stand-ins for absent times: a parent without a time was there from the start,
 #: a child without a time sees everything.
 FIRST, LAST = "0001-01-01 00:00:00", "9999-12-31 00:00:00"
+#: Hash buckets of keys, and the share of all rows from which a bucket counts as hot.
+BUCKETS, HOT = 4096, 0.01
 
 
 def _ts(c: str, otherwise: str):
@@ -59,18 +62,8 @@ def status_as_of(parents: DataFrame, moments: DataFrame) -> DataFrame:
     return join_on(out, days, [*KEY, "day"], "left").select(*KEY, "ts", F.coalesce("today", "carried").alias("op_then"))
 
 
-def orphan_ends(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row per edge row and end whose node does not exist at the edge's time.
-
-    ``nodes``: row_id, paper_name, catalyst_id, id, op, loaded_at;
-    ``edges``: row_id, paper_name, catalyst_id, source_id, target_id, loaded_at.
-    Returns row_id, side, reason (``missing``, ``late``, ``deleted``), loaded_at.
-
-    Null or blank ends are no reference; null tree columns compare equal to each
-    other; a null node time means "always there", a null edge time "after all".
-    Repeated rows count each; empty tables give no rows; other columns are ignored.
-    """
-    parents, children = parent_keys(nodes), child_keys(edges)
+def _by_groups(parents: DataFrame, children: DataFrame) -> DataFrame:
+    """Orphans among keys of any size: groups shrink to summaries before the shuffle, suspects are joined back."""
     tagged = parents.select(*KEY, F.lit(True).alias("is_parent"), "ts", (F.col("op") == "delete").alias("gone")).unionByName(
         children.select(*KEY, F.lit(False).alias("is_parent"), "ts", F.lit(False).alias("gone"))
     )
@@ -90,6 +83,45 @@ def orphan_ends(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return plain.unionByName(gone)
 
 
+def _by_window(parents: DataFrame, children: DataFrame) -> DataFrame:
+    """Orphans among keys that fit a task: one shuffle of the tagged long form, grouped by key."""
+    tagged = parents.select(*KEY, "ts", F.lit(0).alias("kind"), "rid", "op").unionByName(
+        children.select(*KEY, "ts", F.lit(1).alias("kind"), F.col("row_id").alias("rid"), "side", "loaded_at"), allowMissingColumns=True
+    )
+    group = W.partitionBy(*KEY)
+    so_far = group.orderBy("ts", "kind", "rid").rowsBetween(W.unboundedPreceding, 0)
+    seen = tagged.select("*", F.last("op", ignorenulls=True).over(so_far).alias("op_then"), F.min("kind").over(group).alias("least"))
+    reason = F.when(F.col("op_then") == "delete", "deleted").when(F.col("op_then").isNotNull(), None).when(F.col("least") == 0, "late").otherwise("missing")
+    return seen.where("kind = 1").select(F.col("rid").alias("row_id"), "side", reason.alias("reason"), "loaded_at").where("reason is not null")
+
+
+def _bucket():
+    return F.pmod(F.xxhash64(*KEY), F.lit(BUCKETS))
+
+
+def orphan_ends(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row per edge row and end whose node does not exist at the edge's time.
+
+    ``nodes``: row_id, paper_name, catalyst_id, id, op, loaded_at;
+    ``edges``: row_id, paper_name, catalyst_id, source_id, target_id, loaded_at.
+    Returns row_id, side, reason (``missing``, ``late``, ``deleted``), loaded_at.
+
+    Null or blank ends are no reference; null tree columns compare equal to each
+    other; a null node time means "always there", a null edge time "after all".
+    Repeated rows count each; empty tables give no rows; other columns are ignored.
+    Keys in a hash bucket with more than ``HOT`` of all rows, of which there are
+    1 / HOT at most, take a way without whole groups in a task; results are the same.
+    """
+    parents, children = parent_keys(nodes), child_keys(edges)
+    sizes = parents.select(_bucket().alias("b")).unionByName(children.select(_bucket().alias("b"))).groupBy("b").count().collect()
+    limit = HOT * sum(r["count"] for r in sizes)
+    hot = [r["b"] for r in sizes if r["count"] > limit]
+    if not hot:
+        return _by_window(parents, children)
+    is_hot = _bucket().isin(hot)
+    return _by_window(parents.where(~is_hot), children.where(~is_hot)).unionByName(_by_groups(parents.where(is_hot), children.where(is_hot)))
+
+
 def orphans_by_period(orphans: DataFrame, parent_table: str, child_table: str) -> DataFrame:
     """Orphans per table, month of the child's load, side and reason."""
     return orphans.groupBy(
