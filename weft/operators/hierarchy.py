@@ -9,6 +9,8 @@ the node half way up its chain would have been resolved in that round.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,9 @@ from weft.session import cut
 TREE = ["paper_name", "catalyst_id"]
 LINKS = ("synthesis_input", "synthesis_output")
 KINDS = ("chemical", "synthesis")
+#: Rows of whole trees that one task takes at a time, and from where a bucket is too large for that.
+BUCKET_ROWS, HOT_ROWS = 50_000, 400_000
+NOTHING, SEP = "\x02", "\x01"
 
 
 def live_nodes(nodes: DataFrame) -> DataFrame:
@@ -53,34 +58,77 @@ def resolve(nodes: DataFrame, links: DataFrame, with_paths: bool = False) -> Dat
         *TREE, "id", F.col("parent").alias("up"), F.when(F.col("parent").isNull(), F.col("id")).alias("root_id"),
         F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth"), *seg,
     ))
-    left = None
-    while True:
-        still_open = state.where("up is not null").count()
-        if still_open == 0 or still_open == left:
-            break
-        left = still_open
-        ahead = state.select(*TREE, F.col("id").alias("up"), F.col("up").alias("next_up"), F.col("root_id").alias("next_root"), F.col("depth").alias("more"), *([F.col("path").alias("front")] if with_paths else []))
-        moved = join_on(state.where("up is not null").drop("root_id"), ahead, [*TREE, "up"], "inner").select(
+    done, going, left = state.where("up is null"), state.where("up is not null"), None
+    while (now := going.count()) and now != left:
+        left = now
+        ahead = done.unionByName(going).select(*TREE, F.col("id").alias("up"), F.col("up").alias("next_up"), F.col("root_id").alias("next_root"), F.col("depth").alias("more"), *([F.col("path").alias("front")] if with_paths else []))
+        moved = cut(join_on(going.drop("root_id"), ahead, [*TREE, "up"], "inner").select(
             *TREE, "id", F.col("next_up").alias("up"), F.col("next_root").alias("root_id"), (F.col("depth") + F.col("more")).alias("depth"),
             *([F.concat("front", "path").alias("path")] if with_paths else []),
-        )
-        state = cut(state.where("up is null").unionByName(moved))
-    open_ = F.col("up").isNotNull()
-    return state.select(
-        *TREE, "id", F.when(open_, "").otherwise(F.col("root_id")).alias("root_id"), F.when(open_, -1).otherwise(F.col("depth")).cast("long").alias("depth"),
-        *([F.when(open_, F.array().cast("array<string>")).otherwise(F.col("path")).alias("path")] if with_paths else []),
-    )
+        ))
+        done, going = done.unionByName(moved.where("up is null")), moved.where("up is not null")
+    names = [*TREE, "id", "root_id", "depth", *(["path"] if with_paths else [])]
+    loop = going.withColumns({"root_id": F.lit(""), "depth": F.lit(-1).cast("long"), **({"path": F.array().cast("array<string>")} if with_paths else {})})
+    return done.select(*names).unionByName(loop.select(*names))
+
+
+def _double(nodes: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+    """Root and depth for a few whole trees at once; pointers are positions in an array."""
+    tree = lambda t: t["paper_name"].fillna(NOTHING) + SEP + t["catalyst_id"].fillna(NOTHING) + SEP
+    index = pd.Index(tree(nodes) + nodes["id"])
+    child, parent = index.get_indexer(tree(links) + links["id"]), index.get_indexer(tree(links) + links["parent"])
+    real = (child >= 0) & (parent >= 0)
+    kept = pd.DataFrame({"child": child[real], "parent": parent[real], "name": links["parent"].to_numpy()[real]})
+    kept = kept.sort_values("name", kind="stable").drop_duplicates("child")
+    up, depth = np.arange(len(nodes)), np.zeros(len(nodes), dtype="int64")
+    up[kept["child"]], depth[kept["child"]] = kept["parent"], 1
+    is_root = np.ones(len(nodes), dtype=bool)
+    is_root[kept["child"]] = False
+    left = -1
+    while (now := int((~is_root[up]).sum())) and now != left:
+        left = now
+        depth, up = depth + depth[up], up[up]
+    loop = ~is_root[up]
+    out = nodes[["paper_name", "catalyst_id", "id"]].copy()
+    out["root_id"] = np.where(loop, "", nodes["id"].to_numpy()[up]) if len(nodes) else nodes["id"]
+    out["depth"] = np.where(loop, -1, depth)
+    return out
 
 
 def hierarchy(nodes: DataFrame, edges: DataFrame, with_paths: bool = False) -> DataFrame:
     """Root and depth of every live node of ``tree_nodes`` under ``tree_edges``.
 
+    Trees come together in buckets of about ``BUCKET_ROWS`` rows, whose pointers
+    are doubled in one task.  Trees in a bucket of more than ``HOT_ROWS`` rows
+    (one that holds a large tree) are doubled by joins instead, as are all trees
+    if paths are wanted; results are the same.
+
     Ids are compared without blanks around them; null tree columns compare equal;
     null or empty ids are no node; repeated edges count once; empty tables give
     no rows; other columns are ignored.
     """
-    live = cut(live_nodes(nodes))
-    return resolve(live, parent_links(live, edges), with_paths)
+    if with_paths:
+        live = cut(live_nodes(nodes))
+        return resolve(live, parent_links(live, edges), with_paths)
+    wanted = edges.where(F.lower(strip("type")).isin(*LINKS))
+    total = nodes.count() + edges.count()
+    n = max(1, -(-total // BUCKET_ROWS))
+    bucket = F.pmod(F.xxhash64(*TREE), F.lit(n))
+    sizes = nodes.select(bucket.alias("b")).unionByName(wanted.select(bucket.alias("b"))).groupBy("b").count().where(F.col("count") > HOT_ROWS)
+    # At most total / HOT_ROWS buckets are that large.
+    hot = [r["b"] for r in sizes.select("b").collect()]
+    cold = ~bucket.isin(hot) if hot else F.lit(True)
+    ours = nodes.where(cold).select(bucket.alias("b"), *TREE, strip("id").alias("id"), "loaded_at", "row_id", F.struct("op", "type").alias("rec"))
+    ours = ours.where(filled(F.col("id"))).repartition(max(1, n // 4), "b").groupBy("b", *TREE, "id").agg(F.max_by("rec", F.struct("loaded_at", "row_id")).alias("rec"))
+    ours = ours.where(F.coalesce(F.lower("rec.op"), F.lit("add")) != "delete").where(F.col("rec.type").isin(*KINDS)).select("b", *TREE, "id")
+    links = wanted.where(cold).select(bucket.alias("b"), *TREE, strip("source_id").alias("id"), strip("target_id").alias("parent"))
+    links = links.where(filled(F.col("id")) & filled(F.col("parent"))).repartition(max(1, n // 4), "b")
+    schema = "paper_name string, catalyst_id string, id string, root_id string, depth bigint"
+    out = ours.groupBy("b").cogroup(links.groupBy("b")).applyInPandas(_double, schema)
+    if hot:
+        live = cut(live_nodes(nodes.where(~cold)))
+        out = out.unionByName(resolve(live, parent_links(live, edges.where(~cold))))
+    return out
 
 
 def descendants(paths: DataFrame) -> DataFrame:

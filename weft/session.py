@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,19 +28,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's ``spark.checkpoint.dir``.
+
+    Only a local session that names none gets a folder of its own; a cluster
+    without one is an error, as executors would not share the files.
+    """
+    sc = spark.sparkContext
+    shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if shared is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = "file://" + os.path.join(tempfile.gettempdir(), "weft-shared")
+    return shared
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and forget its plan.
+    """Write ``df`` as a table in the shared folder and read it again.
 
-    The folder is the cluster's ``spark.checkpoint.dir``.  Only a local session
-    that names none gets a folder of its own; a cluster without one is an error,
-    as executors would not share the files.
+    Cuts the lineage and survives the loss of executors; unlike checkpoint files
+    the table is compressed and columns that nobody reads cost nothing.
     """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        shared = sc.getConf().get("spark.checkpoint.dir")
-        if shared is None:
-            if not sc.master.startswith("local[") and sc.master != "local":
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            shared = os.path.join(tempfile.gettempdir(), "weft-checkpoints")
-        sc.setCheckpointDir(shared)
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(df.sparkSession)}/weft-{df.sparkSession.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._weft_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables made by ``cut`` that no later plan reads."""
+    for df in tables:
+        path = getattr(df, "_weft_path", None)
+        if path:
+            jvm = df.sparkSession.sparkContext._jvm
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
