@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weft.operators import hierarchy, orphans
+from weft.operators import hierarchy, nested, orphans, quantities
 from weft.session import table
 
 
@@ -10,6 +10,22 @@ def _tree(spark, d):
     return table(spark, d, "tree_nodes"), table(spark, d, "tree_edges")
 
 
+def p1_found(spark, d):
+    return nested.quantities(table(spark, d, "tree_raw")).select("record_id", "owner", "owner_id", "path").distinct()
+
+
+def p1_nodes(spark, d):
+    return nested.nodes(table(spark, d, "tree_raw"))
+
+
+def p1_edges(spark, d):
+    return nested.edges(table(spark, d, "tree_raw"))
+
+
+def p1_quantities(spark, d):
+    return nested.quantities(table(spark, d, "tree_raw"))
+
+
 def p5_found(spark, d):
     return orphans.orphan_ends(*_tree(spark, d)).select("row_id", "side", "reason").distinct()
 
@@ -30,7 +46,20 @@ def p6_descendants(spark, d):
     return hierarchy.descendants(hierarchy.hierarchy(*_tree(spark, d), with_paths=True))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_by_month, p6_found, p6_hierarchy, p6_descendants)}
+def p7_found(spark, d):
+    return quantities.converted(table(spark, d, "node_quantities"), table(spark, d, "quantity_ref")).distinct()
+
+
+def p7_converted(spark, d):
+    done = quantities.normalise(table(spark, d, "node_quantities"), table(spark, d, "quantity_ref"))
+    return done.select("quantity_id", "quantity", "low", "high", "common_unit", "stated_in", "unique", "as_is")
+
+
+def p7_inferred(spark, d):
+    return quantities.infer_units(quantities.normalise(table(spark, d, "node_quantities"), table(spark, d, "quantity_ref")))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_nodes, p1_edges, p1_quantities, p5_found, p5_by_month, p6_found, p6_hierarchy, p6_descendants, p7_found, p7_converted, p7_inferred)}
 
 _P5 = """
 WITH n AS (SELECT paper_name, catalyst_id, trim(id) AS k, loaded_at AS ts, row_id AS rid, coalesce(lower(trim(op)), 'add') AS op FROM tree_nodes WHERE trim(id) <> ''),
