@@ -26,30 +26,26 @@ def graphs(raw: DataFrame) -> DataFrame:
 
     Payloads that break off, or hold no object, give no row.
     """
-    root = raw.select("record_id", "paper_name", "catalyst_id", "payload")
-    root = J.with_plain_json(root, "payload").select("record_id", "paper_name", "catalyst_id", J.members(F.col("payload")).alias("root"))
-    secs = F.array(*[F.struct(F.lit(s).alias("section"), F.element_at("root", F.lit(s)).alias("t")) for s in SECTIONS])
-    secs = F.filter(secs, lambda s: s["t"].isNotNull())
-    secs = F.when(F.map_contains_key("root", "nodes") | F.map_contains_key("root", "edges"), F.array(F.struct(F.lit("").alias("section"), F.to_json("root").alias("t")))).otherwise(secs)
-    flat = root.where("root is not null").select("record_id", "paper_name", "catalyst_id", F.inline(secs))
-    flat = flat.select("record_id", "paper_name", "catalyst_id", "section", J.members(J.nested_text(F.col("t"))).alias("m")).where("m is not null")
+    # No filters here: one over a computed column would compute it once more; inline drops nulls and empty arrays.
+    root = J.with_plain_json(raw.select("record_id", "paper_name", "catalyst_id", "payload"), "payload")
+    root = root.select("record_id", "paper_name", "catalyst_id", J.members(F.col("payload")).alias("root"))
+    secs = F.array(*[F.struct(F.lit(s).alias("path"), F.element_at("root", F.lit(s)).alias("t")) for s in SECTIONS])
+    secs = F.when(F.map_contains_key("root", "nodes") | F.map_contains_key("root", "edges"), F.array(F.struct(F.lit("").alias("path"), F.to_json("root").alias("t")))).otherwise(secs)
+    secs = F.transform(J.nested_only(secs), lambda x: F.struct(x["path"].alias("section"), J.members(x["t"]).alias("m")))
+    flat = root.select("record_id", "paper_name", "catalyst_id", F.inline(F.when(F.col("root").isNotNull(), secs)))
     return flat.select("record_id", "paper_name", "catalyst_id", "section", *[J.elements(J.nested_text(F.element_at("m", F.lit(k)))).alias(k) for k in ("nodes", "edges")])
 
 
 def owners(raw: DataFrame) -> DataFrame:
-    """Nodes and edges: record_id, paper_name, catalyst_id, section, owner, pos, owner_id, m (members), body."""
-    parts = graphs(raw)
+    """Nodes and edges: record_id, paper_name, catalyst_id, section, owner, pos, body, m (members), owner_id."""
 
     def tagged(k: str, owner: str) -> Column:
-        rows = F.transform(k, lambda t, i: F.struct(F.lit(owner).alias("owner"), i.cast("long").alias("pos"), t.alias("body")))
-        return F.coalesce(rows, F.array().cast("array<struct<owner:string,pos:bigint,body:string>>"))
-
-    both = F.concat(tagged("nodes", "node"), tagged("edges", "edge"))
-    rows = parts.select("record_id", "paper_name", "catalyst_id", "section", F.inline(both))
-    rows = rows.withColumn("body", J.nested_text(F.col("body"))).where(F.col("body").startswith("{"))
-    return rows.select("*", J.members(F.col("body")).alias("m")).where("m is not null").select(
-        "record_id", "paper_name", "catalyst_id", "section", "owner", "pos", F.element_at("m", F.lit("id")).alias("owner_id"), "m", "body"
-    )
+        rows = J.nested_only(F.transform(k, lambda t, i: F.struct(i.cast("string").alias("path"), t.alias("t"))))
+        rows = F.transform(rows, lambda x: F.struct(F.lit(owner).alias("owner"), x["path"].cast("long").alias("pos"), x["t"].alias("body"), J.members(x["t"]).alias("m")))
+        return F.coalesce(F.filter(rows, lambda x: x["m"].isNotNull()), F.array().cast("array<struct<owner:string,pos:bigint,body:string,m:map<string,string>>>"))
+
+    rows = graphs(raw).select("record_id", "paper_name", "catalyst_id", "section", F.inline(F.concat(tagged("nodes", "node"), tagged("edges", "edge"))))
+    return rows.select("*", F.element_at("m", F.lit("id")).alias("owner_id"))
 
 
 def _opened(level: Column) -> Column:
