@@ -1,4 +1,40 @@
-"""Queries of the text problems."""
+"""Queries of the text problems: 2, 3, 4, 8, 9 and 10."""
 
-QUERIES = {}
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from weft.llm import confusables, materials
+from weft.session import table
+
+
+def p2_found(spark, d):
+    found = materials.map_names(table(spark, d, "tree_nodes"), table(spark, d, "material_ref"))
+    return found.where("material_id is not null and not exact").select("row_id", "material_id")
+
+
+def p2_unmatched(spark, d):
+    """Names without an entry and how many rows carry them."""
+    found = materials.map_names(table(spark, d, "tree_nodes"), table(spark, d, "material_ref"))
+    return found.where("material_id is null").groupBy("name").agg(F.count("*").alias("n_rows"))
+
+
+def p3_found(spark, d):
+    names = confusables.touched(table(spark, d, "tree_nodes"), "name", "row_id")
+    texts = confusables.touched(table(spark, d, "paper_text"), "full_text", "text_id")
+    return names.select(F.lit("tree_nodes").alias("table_name"), F.col("row_id").alias("row_key")).unionByName(
+        texts.select(F.lit("paper_text").alias("table_name"), F.col("text_id").alias("row_key")))
+
+
+def p3_names(spark, d):
+    """Every name in its consistent form."""
+    return confusables.unify(table(spark, d, "tree_nodes").select("row_id", "name"), "name").select("row_id", "clean", "touched")
+
+
+def p3_groups(spark, d):
+    """Names that look the same but are stored with different characters."""
+    return confusables.look_alikes(table(spark, d, "tree_nodes"), "name")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_unmatched, p3_found, p3_names, p3_groups)}
 ORACLE = {}
