@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weft.llm import confusables, materials
+from weft.llm import confusables, leakage, materials, subjects
 from weft.session import table
 
 
@@ -36,5 +36,32 @@ def p3_groups(spark, d):
     return confusables.look_alikes(table(spark, d, "tree_nodes"), "name")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_unmatched, p3_found, p3_names, p3_groups)}
+def _leaks(spark, d):
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p8_found(spark, d):
+    return _leaks(spark, d).select("doc_id", "item_id").distinct()
+
+
+def p8_items(spark, d):
+    """How far each item leaked."""
+    return leakage.leaked_items(_leaks(spark, d), table(spark, d, "eval_items"))
+
+
+def _subjects(spark, d):
+    return subjects.assign(table(spark, d, "documents"), table(spark, d, "subject_labels"))
+
+
+def p10_found(spark, d):
+    return _subjects(spark, d).where("not labelled").select("doc_id", "subject")
+
+
+def p10_composition(spark, d):
+    """Documents and mean probability of each subject over the whole corpus."""
+    per = _subjects(spark, d).groupBy("subject").agg(F.count("*").alias("n_documents"), F.round(F.avg("probability"), 4).alias("mean_probability"))
+    return table(spark, d, "subject_ref").select("subject", "title").join(per, "subject", "left").fillna(0, ["n_documents"])
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_unmatched, p3_found, p3_names, p3_groups, p8_found, p8_items, p10_found, p10_composition)}
 ORACLE = {}
