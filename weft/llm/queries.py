@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weft.llm import confusables, leakage, materials, subjects
+from weft.llm import confusables, leakage, materials, mixing, subjects
 from weft.session import table
 
 
@@ -63,5 +63,15 @@ def p10_composition(spark, d):
     return table(spark, d, "subject_ref").select("subject", "title").join(per, "subject", "left").fillna(0, ["n_documents"])
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_unmatched, p3_found, p3_names, p3_groups, p8_found, p8_items, p10_found, p10_composition)}
+def p9_mix(spark, d):
+    """The mixture: drawn documents and how often."""
+    return mixing.draw(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+def p9_report(spark, d):
+    """Shares reached, by source."""
+    return mixing.draw(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_unmatched, p3_found, p3_names, p3_groups, p8_found, p8_items, p9_mix, p9_report, p10_found, p10_composition)}
 ORACLE = {}

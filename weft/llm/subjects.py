@@ -31,6 +31,7 @@ MAX_LABELLED, MAX_TERMS = 20_000, 100_000
 LEAST_SCORE, LEAST_SHARE, LEAST_DOCS, LONGEST = 8.0, 0.75, 3, 4
 SHARE_STEP, SHARE_LEVELS = 0.05, 11
 MOST_SUBJECTS = 3
+SELF_ROUNDS = 2
 ROUNDS = 30
 #: Frames of statements that only mention a term in passing.
 PASSING = re.compile(
@@ -58,27 +59,46 @@ def _document_terms(texts: pd.Series) -> pd.Series:
     return pd.Series([sorted(set().union(*(terms(s) for p in paragraphs(t) for s in p if not PASSING.search(s)))) if t else [] for t in texts])
 
 
-def learn_lexicon(documents: DataFrame, labels: DataFrame) -> dict[str, str]:
-    """Terms that stand for one subject, learned from at most ``MAX_LABELLED`` labelled documents (those of smallest hash)."""
-    marks = labels.where("subject is not null and doc_id is not null").select("doc_id", "subject").distinct()
-    chosen = marks.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
-    marks = marks.join(chosen, "doc_id", "left_semi")
-    docs = documents.where("text is not null").select("doc_id", "text").dropDuplicates(["doc_id"]).join(chosen, "doc_id", "left_semi")
-    rows = docs.repartition(docs.sparkSession.sparkContext.defaultParallelism).select("doc_id", F.explode(_document_terms("text")).alias("term"))
-    both = rows.join(marks.groupBy("doc_id").agg(F.collect_set("subject").alias("subjects")), "doc_id")
+def _scored(rows: DataFrame, marks: DataFrame) -> dict[str, str]:
+    """Terms that stand for one subject among the marked documents: the best ``MAX_TERMS`` by log-likelihood."""
     sizes = {r["subject"]: r["n"] for r in marks.groupBy("subject").agg(F.count("*").alias("n")).collect()}
-    total = max(1, chosen.count())
-    each = both.select("doc_id", "term", F.explode("subjects").alias("subject")).groupBy("term", "subject").agg(F.count("*").alias("k"))
-    df = rows.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= LEAST_DOCS)
-    weight = F.create_map(*[F.lit(x) for s, n in sizes.items() for x in (s, math.log(total / n))]) if sizes else None
-    if weight is None:
+    if not sizes:
         return {}
+    total = marks.select("doc_id").distinct().count()
+    weight = F.create_map(*[F.lit(x) for s, n in sizes.items() for x in (s, math.log(total / n))])
+    both = rows.join(marks.groupBy("doc_id").agg(F.collect_set("subject").alias("subjects")), "doc_id")
+    df = both.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= LEAST_DOCS)
+    each = both.select("term", F.explode("subjects").alias("subject")).groupBy("term", "subject").agg(F.count("*").alias("k"))
     scored = each.join(df, "term").where((F.col("k") >= LEAST_DOCS) & (F.col("k") >= LEAST_SHARE * F.col("df")))
     scored = scored.withColumn("score", F.col("k") * (F.ln(F.col("k") / F.col("df")) + F.element_at(weight, F.col("subject")))).where(F.col("score") >= LEAST_SCORE)
     best = scored.groupBy("term").agg(F.max_by("subject", "score").alias("subject"), F.max("score").alias("score")).orderBy(F.desc("score"), "term").limit(MAX_TERMS)
     return {r["term"]: r["subject"] for r in best.collect()}
 
 
+def learn_lexicon(documents: DataFrame, labels: DataFrame) -> dict[str, str]:
+    """Terms that stand for one subject.
+
+    Learned from at most ``MAX_LABELLED`` documents with hand labels, then
+    ``SELF_ROUNDS`` times again from these and as many without, which get the
+    subjects that the lexicon so far finds in a quarter of their statements.
+    Samples are the documents of smallest hash.
+    """
+    marks = labels.where("subject is not null and doc_id is not null").select("doc_id", "subject").distinct()
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    chosen = marks.select("doc_id").distinct().orderBy(*order).limit(MAX_LABELLED)
+    docs = documents.where(F.length("text") > 0).select("doc_id", "text", F.lit("").alias("source"))
+    free = docs.select("doc_id").distinct().join(marks, "doc_id", "left_anti").orderBy(*order).limit(MAX_LABELLED)
+    sample = chosen.select("doc_id", F.lit(True).alias("by_hand")).unionByName(free.select("doc_id", F.lit(False).alias("by_hand")))
+    docs = cut(docs.dropDuplicates(["doc_id"]).join(sample, "doc_id").repartition(docs.sparkSession.sparkContext.defaultParallelism))
+    rows = cut(docs.select("doc_id", F.explode(_document_terms("text")).alias("term")))
+    hand = cut(marks.join(chosen, "doc_id", "left_semi"))
+    lexicon = _scored(rows, hand)
+    for _ in range(SELF_ROUNDS):
+        said = votes(docs.where("not by_hand"), lexicon).where(F.col("lex") * SHARE_STEP >= 0.25).select("doc_id", "subject")
+        lexicon = _scored(rows, cut(hand.unionByName(said)))
+    return lexicon
+
+
 def count_statements(text: str, lexicon: dict[str, str]) -> dict[str, tuple[int, int, int, int, int]]:
     """Per subject: statements that treat it, passing mentions, paragraphs that treat it, addresses; and all statements."""
     treat, passing, paras, addr, n = Counter(), Counter(), Counter(), Counter(), 0
@@ -134,6 +154,10 @@ def learn_accuracies(patterns: pd.DataFrame) -> pd.DataFrame:
     start = 1 / (1 + np.exp(-(lex * SHARE_STEP - 0.2) * 40))
     post = np.where(hand == 2, 0.95, np.where(hand == 1, 0.05, start))
     names = list(LEVELS)
+    # Labelled and unlabelled documents weigh the same in all, so that the many can't carry the truth away from the few.
+    marked = hand > 0
+    if marked.any() and not marked.all():
+        w = w * np.where(marked, w[~marked].sum() / w[marked].sum(), 1.0)
     for step in range(ROUNDS):
         # Labelled patterns alone set the levels first, if there are enough of them.
         use = w * (hand > 0) if step == 0 and (w * (hand > 0)).sum() > 200 else w
