@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weft.llm import confusables, leakage, materials, mixing, subjects
+from weft.llm import confusables, leakage, materials, mixing, scans, subjects
 from weft.session import table
 
 
@@ -36,6 +36,15 @@ def p3_groups(spark, d):
     return confusables.look_alikes(table(spark, d, "tree_nodes"), "name")
 
 
+def p4_found(spark, d):
+    return scans.noisy_lines(table(spark, d, "paper_text"))
+
+
+def p4_repaired(spark, d):
+    """Texts as continuous paragraphs."""
+    return scans.repaired(table(spark, d, "paper_text"))
+
+
 def _leaks(spark, d):
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -73,5 +82,5 @@ def p9_report(spark, d):
     return mixing.draw(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_unmatched, p3_found, p3_names, p3_groups, p8_found, p8_items, p9_mix, p9_report, p10_found, p10_composition)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_unmatched, p3_found, p3_names, p3_groups, p4_found, p4_repaired, p8_found, p8_items, p9_mix, p9_report, p10_found, p10_composition)}
 ORACLE = {}
