@@ -162,7 +162,8 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
         def search(batches: Iterator[pd.DataFrame], block=block) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 rows = [(d, *hit) for d, t in zip(batch["doc_id"], batch["text"], strict=True) for hit in block.value.passages(t)]
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "passage", "covered"])
+                if rows:
+                    yield pd.DataFrame(rows, columns=["doc_id", "item_id", "passage", "covered"])
 
         found = documents.select("doc_id", "text").where(F.length("text") > 0).mapInPandas(search, schema)
         out = found if out is None else out.unionByName(found)

@@ -133,7 +133,8 @@ def votes(documents: DataFrame, lexicon: dict[str, str]) -> DataFrame:
                 for s, (treat, passing, paras, addr, n) in count_statements(t, shared.value).items():
                     lex = min(SHARE_LEVELS - 1, math.ceil(treat / n / SHARE_STEP - 0.5)) if treat else 0
                     rows.append((d, src, s, lex, min(paras, 3) if treat else 4, min(addr, 2)))
-            yield pd.DataFrame(rows, columns=["doc_id", "source", "subject", "lex", "sec", "adr"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["doc_id", "source", "subject", "lex", "sec", "adr"])
 
     base = documents.where(F.length("text") > 0).select("doc_id", "text", F.coalesce(F.lower(F.trim("source")), F.lit("")).alias("source"))
     return base.mapInPandas(vote, schema)
