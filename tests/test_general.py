@@ -157,3 +157,11 @@ def test_components(spark):
     assert {(r.id, r.root) for r in components(pairs).collect()} == {(k, 0) for k in range(n + 1)} | {(k, 100) for k in (100, 101, 102)}
     assert components(pairs.limit(0)).count() == 0
     assert pairs.where(F.col("i") < 0).count() == 0
+
+
+def test_trees_without_nodes_or_targets(spark):
+    n, e = tree_frames(spark, [("a", "b")], "ab")
+    other = e.withColumn("paper_name", F.lit("Q"))
+    assert H.hierarchy(n.limit(0), other).count() == 0 and H.hierarchy(n, other).count() == 2
+    t = spark.createDataFrame([], "paper_name string, catalyst_id string, target_id string")
+    assert L.reach(t, e.select("paper_name", "catalyst_id", "source_id", "target_id")).count() == 0

@@ -74,6 +74,8 @@ def resolve(nodes: DataFrame, links: DataFrame, with_paths: bool = False) -> Dat
 
 def _double(nodes: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
     """Root and depth for a few whole trees at once; pointers are positions in an array."""
+    if not len(nodes):
+        return pd.DataFrame()
     tree = lambda t: t["paper_name"].fillna(NOTHING) + SEP + t["catalyst_id"].fillna(NOTHING) + SEP
     index = pd.Index(tree(nodes) + nodes["id"])
     child, parent = index.get_indexer(tree(links) + links["id"]), index.get_indexer(tree(links) + links["parent"])
@@ -90,7 +92,7 @@ def _double(nodes: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
         depth, up = depth + depth[up], up[up]
     loop = ~is_root[up]
     out = nodes[["paper_name", "catalyst_id", "id"]].copy()
-    out["root_id"] = np.where(loop, "", nodes["id"].to_numpy()[up]) if len(nodes) else nodes["id"]
+    out["root_id"] = np.where(loop, "", nodes["id"].to_numpy()[up])
     out["depth"] = np.where(loop, -1, depth)
     return out
 

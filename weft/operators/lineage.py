@@ -41,6 +41,8 @@ def reach_by_joins(targets: DataFrame, edges: DataFrame, most: int | None = None
 def _walk(most: int | None):
     def walk(targets: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
         """Breadth-first from all targets of a few whole trees at once, over positions in arrays."""
+        if not len(targets):
+            return pd.DataFrame()
         tree = lambda t: t["paper_name"].fillna(NOTHING) + SEP + t["catalyst_id"].fillna(NOTHING) + SEP
         start = tree(targets) + targets["target_id"]
         to, frm = tree(edges) + edges["target_id"], tree(edges) + edges["source_id"]
