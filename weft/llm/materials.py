@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from weft.functions.units import constant_map
 from weft.llm.confusables import folded
+from weft.session import cut
 
 #: German stems of the words of compound names, and charges of anions by formula.
 GERMAN = {
@@ -91,7 +92,7 @@ def aliases(reference: DataFrame) -> DataFrame:
 
     The list is small; the other compounds are its own metals by its own anions.
     """
-    m = metals(reference).cache()
+    m = cut(metals(reference))
     german = constant_map(GERMAN, "map<string,string>")
     pairs = _combinations(m).join(m, ["metal", "symbol", "anion"], "left").select("metal", "symbol", F.regexp_replace("anion", "^di(?=oxide)", "").alias("anion"), "material_id", "state").groupBy("metal", "symbol", "anion").agg(F.max("material_id").alias("material_id"), F.max("state").alias("state"))
     stem = F.coalesce(F.element_at(german, F.col("metal")), F.col("metal"))
@@ -174,11 +175,12 @@ def match(names: DataFrame, reference: DataFrame) -> DataFrame:
     exactly, then the smaller one.  A stated oxidation state that is not that of
     the entry's formula makes it another compound.  Blank names have no entry.
     """
-    table = aliases(reference).cache()
-    read = variants(names.where(F.trim("name") != ""))
+    table = cut(aliases(reference))
+    names = cut(names)
+    read = cut(variants(names.where(F.trim("name") != "")))
     sure = read.join(table, (read["variant"] == table["alias"]) & (read["kind"] == table["kind"])).select("name", read["state"].alias("said"), "alias", "material_id", table["state"].alias("state"), F.lit(0).alias("edits"))
     open_ = read.where("kind = 'name'").join(sure.select("name").distinct(), "name", "left_anti")
-    pairs = near(open_, table)
+    pairs = cut(near(open_, table))
     loose = open_.join(pairs, "variant").join(table.where("kind = 'name'").select("alias", "material_id", F.col("state").alias("s")), "alias").select("name", F.col("state").alias("said"), "alias", "material_id", F.col("s").alias("state"), "edits")
     weights = sure.join(names.select("name", "n"), "name").groupBy("alias").agg(F.sum("n").alias("weight"))
     both = sure.unionByName(loose).join(weights, "alias", "left")
