@@ -82,3 +82,23 @@ def test_stream(spark, tmp_path):
         follow(spark, str(tmp_path / "src"), df.schema, str(tmp_path / "out"), str(tmp_path / "ck"), ["id"], ["t"]).awaitTermination()
         got = {r.id: r.v for r in spark.read.parquet(str(tmp_path / "out" / f"v={k}")).collect()}
     assert got == {"a": "new", "b": "b"}
+
+
+def test_features(spark):
+    from weft.operators.features import feature_cells, feature_table
+
+    a = spark.createDataFrame([("1", "```csv\n a |b\n1|2\n3\n```"), ("2", "none"), ("3", None), ("4", "```csv\na\n```")], "run_id string, answer string")
+    got = {(r.run_id, r.row, r.a, r.b, r.c) for r in feature_table(feature_cells(a), ["a", "b", "c"]).collect()}
+    assert got == {("1", 0, "1", "2", None), ("1", 1, "3", None, None)}
+
+
+def test_jobs(spark, tmp_path, small):
+    from weft import jobs
+
+    (tmp_path / "g").mkdir()
+    (tmp_path / "g" / "P_a.json").write_text('{"catgraph_tree": {"nodes": [{"id": "a"}], "edges": []}}')
+    jobs.main(["import", str(tmp_path / "g"), str(tmp_path / "kg"), "--first-part"])
+    assert [(r.paper_name, r.id) for r in spark.read.parquet(str(tmp_path / "kg/nodes.parquet")).collect()] == [("P", "a")]
+    jobs.main(["loops", small, str(tmp_path / "loops")])
+    jobs.main(["lineage", small, str(tmp_path / "lin")])
+    assert spark.read.parquet(str(tmp_path / "lin")).count() > 0
