@@ -131,6 +131,29 @@ def test_leak(text, leaks):
     assert bool(K.Items([(1, ITEM)]).passages(text)) == leaks
 
 
+HAN = "甲乙丙丁戊己庚辛壬癸子丑寅卯辰巳午未申酉戌亥天地玄黄宇宙洪荒"
+
+
+@pytest.mark.parametrize(("length", "changed", "leaks"), [(20, (6, 13), True), (21, (5, 12), True), (23, (8, 15), True), (27, (6, 13, 20), True), (20, (5, 10, 15), False), (19, (9,), False)])
+def test_leak_of_changed_characters(length, changed, leaks):
+    text = "".join("某" if k in changed else c for k, c in enumerate(HAN[:length]))
+    assert bool(K.Items([(1, HAN)]).passages(text)) == leaks
+
+
+def test_skip_loses_no_passage(monkeypatch):
+    rng, items = random.Random(5), K.Items([(1, HAN), (2, ITEM)])
+    texts = []
+    for _ in range(2000):
+        whole, join = rng.choice([(list(HAN), ""), (ITEM.split(), " ")])
+        part = whole[(a := rng.randrange(len(whole) - 11)) : a + rng.randint(12, 30)]
+        for k in rng.sample(range(len(part)), rng.randint(0, min(3, len(part)))):
+            part[k] = "某" if join == "" else "other"
+        texts.append(join.join(part))
+    got = [items.passages(t) for t in texts]
+    monkeypatch.setattr(K, "least_hits", lambda least: 0)
+    assert got == [items.passages(t) for t in texts] and 0 < sum(map(bool, got)) < len(got)
+
+
 def test_leak_blocks(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "a " + ITEM), (2, None), (3, ""), (1, "a " + ITEM)], "doc_id long, text string")
     items = spark.createDataFrame([(7, ITEM), (8, None), (9, "")] + [(k, f"word{k}") for k in range(20, 30)], "item_id long, text string")

@@ -92,11 +92,11 @@ class Items:
                 by_item[int(self.item[s])].add((pos - int(self.at[s]), pos))
         out = []
         for i, found in by_item.items():
-            # Fewer covered tokens than this can't become a passage: its least span has one change, and one run under SEED.
+            # Fewer hits on a single diagonal can't make a passage, whatever tokens of it are changed.
             diagonals = defaultdict(list)
             for diagonal, pos in found:
                 diagonals[diagonal].append(pos)
-            if len(found) + SEED - 1 < self.least[i] - SEED and len(diagonals) < 2:
+            if len(found) < least_hits(self.least[i]) and len(diagonals) < 2:
                 continue
             tiles = self._tiles(doc, self.tokens[i], diagonals)
             span = longest_passage(tiles, self.least[i], doc, self.tokens[i])
@@ -122,6 +122,11 @@ class Items:
         return sorted(tiles)
 
 
+def least_hits(least: int) -> int:
+    """Seed hits that a passage on one diagonal has at least: a changed token takes ``SEED`` of them; a span of ``ONE_IN`` more never has fewer."""
+    return min(n - SEED + 1 - SEED * (n // ONE_IN) for n in range(least, least + ONE_IN))
+
+
 def longest_passage(tiles: list[tuple[int, int, int]], least: int, doc: np.ndarray, item: np.ndarray) -> int:
     """Tokens of the item in its longest passage: tiles in order with few changes; 0 if none is long enough.
 
