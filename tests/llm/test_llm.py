@@ -211,6 +211,21 @@ def test_subjects_held_out(spark):
     assert len(got & want) >= 0.85 * len(got) and len(got & want) >= 0.8 * len(want)
 
 
+def test_lexicon_reads_all_unlabelled(spark, monkeypatch):
+    rows = [(k, f"A {'turbine' if k % 2 else 'ribosome'} number {k}. The {'turbine' if k % 2 else 'ribosome'} again.") for k in range(80)]
+    # Words that stand in three unlabelled documents each.
+    rows = [(k, t + (f" Turbine with rareword{chr(97 + k // 6 % 13)}." if k % 2 else "")) for k, t in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, "machines" if k % 2 else "cells") for k in range(30)], "doc_id long, subject string")
+    monkeypatch.setattr(J, "LEAST_SCORE", 1.0)
+    got = J.learn_lexicon(docs, labels)
+    monkeypatch.setattr(J, "MAX_LABELLED", 30)
+    few = J.learn_lexicon(docs, labels)
+    assert few == got and {f"rareword{chr(97 + k)}" for k in range(13)} <= {t for t, s in few.items() if s == "machines"}
+    monkeypatch.setattr(J, "HELD", 50)
+    assert J.learn_lexicon(docs, labels) == got
+
+
 def test_subject_corners(spark):
     docs = spark.createDataFrame([(1, None, "journal"), (2, "", None), (3, "Text.", "x")], "doc_id long, text string, source string")
     labels = spark.createDataFrame([(3, "a"), (3, None), (9, "b")], "doc_id long, subject string")

@@ -21,7 +21,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from weft.session import cut
 
@@ -33,6 +32,8 @@ SHARE_STEP, SHARE_LEVELS = 0.05, 11
 MOST_SUBJECTS = 3
 SELF_ROUNDS = 2
 ROUNDS = 30
+#: Entries of the tables that a task counts terms in.
+HELD = 500_000
 #: Frames of statements that only mention a term in passing.
 PASSING = re.compile(
     r"outside (?:our|the) scope|also known from|see the review|for background|deals with other|unlike reports|beyond the scope|not (?:be )?considered here"
@@ -54,23 +55,69 @@ def terms(statement: str) -> set[str]:
     return out | {"@" + h.lower() for h in _HOST.findall(statement)}
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _document_terms(texts: pd.Series) -> pd.Series:
-    return pd.Series([sorted(set().union(*(terms(s) for p in paragraphs(t) for s in p if not PASSING.search(s)))) if t else [] for t in texts])
+def level(treat: int, n: int) -> int:
+    """Level of the lexicon's share of statements: ``treat`` of ``n``."""
+    return min(SHARE_LEVELS - 1, math.ceil(treat / n / SHARE_STEP - 0.5)) if treat else 0
 
 
-def _scored(rows: DataFrame, marks: DataFrame) -> dict[str, str]:
-    """Terms that stand for one subject among the marked documents: the best ``MAX_TERMS`` by log-likelihood."""
-    sizes = {r["subject"]: r["n"] for r in marks.groupBy("subject").agg(F.count("*").alias("n")).collect()}
+def said_and_terms(text: str, lexicon: dict[str, str]) -> tuple[list[str], set[str]]:
+    """Subjects that the lexicon finds in a quarter of the statements, and all terms outside passing mentions."""
+    treat, own, n = Counter(), set(), 0
+    for p in paragraphs(text):
+        for s in p:
+            n += 1
+            if not PASSING.search(s):
+                found = terms(s)
+                own |= found
+                treat.update({lexicon[t] for t in found if t in lexicon})
+    return [s for s, k in treat.items() if level(k, n) * SHARE_STEP >= 0.25], own
+
+
+def _counted(docs: DataFrame, lexicon: dict[str, str]) -> DataFrame:
+    """Documents of each term and subject: term, subject, n.
+
+    ``docs``: text, subjects; where subjects is null, the lexicon says them.  The
+    subject "" counts a term's documents, the term "" a subject's.  Tasks count
+    in tables of at most about ``HELD`` entries, which are summed by term.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[str, Counter] = {}
+        for b in batches:
+            for text, subjects in zip(b["text"], b["subjects"], strict=True):
+                said, own = said_and_terms(text, shared.value)
+                given = said if subjects is None else list(subjects)
+                if given:
+                    own.add("")
+                    for s in ("", *given):
+                        held.setdefault(s, Counter()).update(own)
+                if sum(map(len, held.values())) > HELD:
+                    yield from _frames(held)
+                    held = {}
+        yield from _frames(held)
+
+    parts = docs.select("text", "subjects").mapInPandas(count, "subject string, term string, n bigint")
+    return parts.repartition("term").groupBy("term", "subject").agg(F.sum("n").alias("n"))
+
+
+def _frames(held: dict[str, Counter]) -> Iterator[pd.DataFrame]:
+    for subject, counts in held.items():
+        yield pd.DataFrame({"subject": subject, "term": list(counts), "n": list(counts.values())})
+
+
+def _scored(docs: DataFrame, lexicon: dict[str, str]) -> dict[str, str]:
+    """Terms that stand for one subject among the documents that have subjects: the best ``MAX_TERMS`` by log-likelihood."""
+    each = F.collect_list(F.when(F.col("subject") != "", F.struct("subject", F.col("n").alias("k"))))
+    per = _counted(docs, lexicon).groupBy("term").agg(F.sum(F.when(F.col("subject") == "", F.col("n"))).alias("df"), each.alias("each"))
+    size = F.col("term") == ""
+    keeps = lambda x: size | ((x["k"] >= LEAST_DOCS) & (x["k"] >= LEAST_SHARE * F.col("df")))
+    kept = cut(per.where(size | (F.col("df") >= LEAST_DOCS)).select("term", "df", F.inline(F.filter("each", keeps))))
+    sizes = kept.where(size).collect()
     if not sizes:
         return {}
-    total = marks.select("doc_id").distinct().count()
-    weight = F.create_map(*[F.lit(x) for s, n in sizes.items() for x in (s, math.log(total / n))])
-    both = rows.join(marks.groupBy("doc_id").agg(F.collect_set("subject").alias("subjects")), "doc_id")
-    df = both.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= LEAST_DOCS)
-    each = both.select("term", F.explode("subjects").alias("subject")).groupBy("term", "subject").agg(F.count("*").alias("k"))
-    scored = each.join(df, "term").where((F.col("k") >= LEAST_DOCS) & (F.col("k") >= LEAST_SHARE * F.col("df")))
-    scored = scored.withColumn("score", F.col("k") * (F.ln(F.col("k") / F.col("df")) + F.element_at(weight, F.col("subject")))).where(F.col("score") >= LEAST_SCORE)
+    weight = F.create_map(*[F.lit(x) for r in sizes for x in (r["subject"], math.log(r["df"] / r["k"]))])
+    scored = kept.where(~size).withColumn("score", F.col("k") * (F.ln(F.col("k") / F.col("df")) + F.element_at(weight, F.col("subject")))).where(F.col("score") >= LEAST_SCORE)
     best = scored.groupBy("term").agg(F.max_by("subject", "score").alias("subject"), F.max("score").alias("score")).orderBy(F.desc("score"), "term").limit(MAX_TERMS)
     return {r["term"]: r["subject"] for r in best.collect()}
 
@@ -78,24 +125,21 @@ def _scored(rows: DataFrame, marks: DataFrame) -> dict[str, str]:
 def learn_lexicon(documents: DataFrame, labels: DataFrame) -> dict[str, str]:
     """Terms that stand for one subject.
 
-    Learned from at most ``MAX_LABELLED`` documents with hand labels, then
-    ``SELF_ROUNDS`` times again from these and as many without, which get the
-    subjects that the lexicon so far finds in a quarter of their statements.
-    Samples are the documents of smallest hash.
+    Learned from at most ``MAX_LABELLED`` documents with hand labels (those of
+    smallest hash), then ``SELF_ROUNDS`` times again from these and all without,
+    which get the subjects that the lexicon so far finds in a quarter of their
+    statements.
     """
     marks = labels.where("subject is not null and doc_id is not null").select("doc_id", "subject").distinct()
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    chosen = marks.select("doc_id").distinct().orderBy(*order).limit(MAX_LABELLED)
-    docs = documents.where(F.length("text") > 0).select("doc_id", "text", F.lit("").alias("source"))
-    free = docs.select("doc_id").distinct().join(marks, "doc_id", "left_anti").orderBy(*order).limit(MAX_LABELLED)
-    sample = chosen.select("doc_id", F.lit(True).alias("by_hand")).unionByName(free.select("doc_id", F.lit(False).alias("by_hand")))
-    docs = cut(docs.dropDuplicates(["doc_id"]).join(sample, "doc_id").repartition(docs.sparkSession.sparkContext.defaultParallelism))
-    rows = cut(docs.select("doc_id", F.explode(_document_terms("text")).alias("term")))
-    hand = cut(marks.join(chosen, "doc_id", "left_semi"))
-    lexicon = _scored(rows, hand)
+    by_hand = marks.groupBy("doc_id").agg(F.collect_set("subject").alias("subjects"))
+    # Labels beyond the bound leave an empty set: such a document counts neither as labelled nor as free.
+    chosen = marks.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), F.col("doc_id")).limit(MAX_LABELLED).withColumn("chosen", F.lit(True))
+    by_hand = by_hand.join(chosen, "doc_id", "left").select("doc_id", F.when(F.col("chosen"), F.col("subjects")).otherwise(F.array().cast("array<string>")).alias("subjects"))
+    docs = documents.where(F.length("text") > 0).where("doc_id is not null").select("doc_id", "text").dropDuplicates(["doc_id"])
+    docs = cut(docs.join(by_hand, "doc_id", "left").repartition(docs.sparkSession.sparkContext.defaultParallelism))
+    lexicon = _scored(docs.where(F.size("subjects") > 0), {})
     for _ in range(SELF_ROUNDS):
-        said = votes(docs.where("not by_hand"), lexicon).where(F.col("lex") * SHARE_STEP >= 0.25).select("doc_id", "subject")
-        lexicon = _scored(rows, cut(hand.unionByName(said)))
+        lexicon = _scored(docs.where("subjects is null or size(subjects) > 0"), lexicon)
     return lexicon
 
 
@@ -131,8 +175,7 @@ def votes(documents: DataFrame, lexicon: dict[str, str]) -> DataFrame:
             rows = []
             for d, t, src in zip(b["doc_id"], b["text"], b["source"], strict=True):
                 for s, (treat, passing, paras, addr, n) in count_statements(t, shared.value).items():
-                    lex = min(SHARE_LEVELS - 1, math.ceil(treat / n / SHARE_STEP - 0.5)) if treat else 0
-                    rows.append((d, src, s, lex, min(paras, 3) if treat else 4, min(addr, 2)))
+                    rows.append((d, src, s, level(treat, n), min(paras, 3) if treat else 4, min(addr, 2)))
             if rows:
                 yield pd.DataFrame(rows, columns=["doc_id", "source", "subject", "lex", "sec", "adr"])
 
