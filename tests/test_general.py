@@ -159,6 +159,18 @@ def test_components(spark):
     assert pairs.where(F.col("i") < 0).count() == 0
 
 
+def test_similarity_self_join_over_all_vectors(spark, tmp_path):
+    from weft.plans.reference import QUERIES
+
+    # Vector 50 alone is in the bounded query set; 1 and 2 are alike, 3 is like none.
+    rows = [(50, [1.0, 0.0, 0.0, 0.0]), (1, [0.0, 1.0, 0.0, 0.0]), (2, [0.0, 1.0, 0.1, 0.0]), (3, [0.0, 0.0, 0.0, 1.0])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    run = lambda name: {tuple(r[:2]) for r in QUERIES[name](spark, str(tmp_path)).collect()}
+    assert run("knn_pairs") == set() and run("knn_pairs_all") == {(1, 2)}
+    assert run("components_all") == {(50, 50), (1, 1), (2, 1), (3, 3)}
+    assert run("contract_nodes_all") == {(a, b) for a in (1, 3, 50) for b in (1, 3, 50) if a != b}
+
+
 def test_trees_without_nodes_or_targets(spark):
     n, e = tree_frames(spark, [("a", "b")], "ab")
     other = e.withColumn("paper_name", F.lit("Q"))

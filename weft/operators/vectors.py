@@ -77,6 +77,12 @@ def components(pairs: DataFrame, a: str = "i", b: str = "j") -> DataFrame:
         state = new.select("id", "root")
 
 
+def with_singletons(labels: DataFrame, members: DataFrame) -> DataFrame:
+    """Labels of ``components`` for all ``members`` (one column); a member without a pair is its own root."""
+    m = members.toDF("id").where("id is not null").distinct()
+    return m.join(labels, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
+
+
 def contract(edges: DataFrame, mapping: DataFrame, source: str, target: str) -> DataFrame:
     """Edges with merged nodes in place of their members, once each; links within a merged node go."""
     m = mapping.select(F.col("id").alias("_id"), F.col("root").alias("_to"))

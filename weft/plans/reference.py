@@ -286,6 +286,30 @@ def contract_nodes(s, d):
     return V.contract(near.select("query_id", "vec_id"), V.components(pairs), "query_id", "vec_id")
 
 
+#: The same over all vectors as queries: the similarity self-join, its components and the contracted links.
+_KNN_ALL, _COMP_ALL = (x.replace(" WHERE a.vec_id % 50 = 0", "") for x in (_KNN, _COMP))
+
+
+@query(_KNN_ALL + "SELECT least(query_id, vec_id) AS i, greatest(query_id, vec_id) AS j, max(sim) AS sim FROM r WHERE query_id <> vec_id AND sim >= 0.3 GROUP BY 1, 2")
+def knn_pairs_all(s, d):
+    v = table(s, d, "embeddings")
+    return V.similar_pairs(v, v, 10, 0.3)
+
+
+@query(_COMP_ALL + "SELECT v.vec_id AS id, coalesce(k.root, v.vec_id) AS root FROM (SELECT DISTINCT vec_id FROM embeddings WHERE vec_id IS NOT NULL) v LEFT JOIN k ON k.id = v.vec_id")
+def components_all(s, d):
+    v = table(s, d, "embeddings")
+    return V.with_singletons(V.components(V.similar_pairs(v, v, 10, 0.3)), v.select("vec_id"))
+
+
+@query(_COMP_ALL + "SELECT DISTINCT coalesce(a.root, q.query_id) AS query_id, coalesce(b.root, q.vec_id) AS vec_id FROM r q LEFT JOIN k a ON a.id = q.query_id LEFT JOIN k b ON b.id = q.vec_id WHERE coalesce(a.root, q.query_id) <> coalesce(b.root, q.vec_id)")
+def contract_nodes_all(s, d):
+    v = table(s, d, "embeddings")
+    near = cut(V.nearest(v, v, 10))
+    pairs = near.where("query_id <> vec_id and sim >= 0.3").select(F.least("query_id", "vec_id").alias("i"), F.greatest("query_id", "vec_id").alias("j")).distinct()
+    return V.contract(near.select("query_id", "vec_id"), V.components(pairs), "query_id", "vec_id")
+
+
 # --- names, evidence, resolution ------------------------------------------------------------------
 
 #: Patterns of a resolver and the names they stand for (parameters of the queries below).
