@@ -142,6 +142,15 @@ def test_units_from_identities(spark, small):
     assert got[0].residual < 0.01
 
 
+def test_units_of_further_rows_of_a_node(spark, small):
+    rows = [(1, "n", "pore_volume", "0.5", "cm3/g"), (2, "n", "surface_area", "200", "m2/g"), (3, "n", "pore_diameter", "100", None), (5, "n", "pore_diameter", "100", None), (6, "n", "pore_diameter", "11", None), (7, "n", "pore_volume", "510", None)]
+    rows += [(11, "m", "pore_volume", "0.5", "cm3/g"), (12, "m", "surface_area", "200", "m2/g"), (13, "m", "pore_diameter", "10", "nm"), (14, "m", "pore_diameter", "99", None), (15, "m", "pore_volume", "0.52", None), (21, None, "pore_volume", "0.5", "cm3/g"), (22, None, "surface_area", "200", "m2/g"), (23, None, "pore_diameter", "10", None), (24, None, "pore_diameter", "100", None)]
+    df = spark.createDataFrame([(k, "P", "c", n, q, v, u, None) for k, n, q, v, u in rows], "quantity_id long, paper_name string, catalyst_id string, node_id string, quantity string, value string, unit string, source_text string")
+    got = Q.infer_units(Q.normalise(df, table(spark, small, "quantity_ref"))).collect()
+    assert sorted((r.quantity_id, r.unit, r.unique) for r in got) == [(3, "Å", True), (5, "Å", True), (6, "nm", True), (7, "mm3/g", True), (14, "Å", True), (15, "L/kg", False), (23, "nm", True), (24, "Å", True)]
+    assert max(r.residual for r in got) < 0.1
+
+
 def test_upsert_maps(spark):
     from weft.operators.graph import merge_maps
 

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.functions import units as U
+from weft.functions.names import join_on
 from weft.session import cut
 
 _MANT = r"(?:\d{1,3}(?:[ ,]\d{3})+(?:\.\d+)?(?!\d)|\d+(?:[.,]\d+)?|\.\d+)"
@@ -164,9 +165,11 @@ def infer_units(normalised: DataFrame) -> DataFrame:
     of each quantity is taken (the smallest quantity_id; stated ones first), all
     combinations of the tried units are compared by the log residual of the
     identity, and the least one is returned with the residual and with
-    ``unique`` false if another combination comes as close.  Per node the work
-    is bounded by the number of tried units.  Nodes without a missing unit, or
-    lacking a quantity of the identity, give no rows.
+    ``unique`` false if another combination comes as close.  Each further row
+    without a unit stands in for its quantity beside the values so found of the
+    others, and is not unique where these are not.  Per row the work is bounded
+    by the number of tried units.  Nodes without a missing unit, or lacking a
+    quantity of the identity, give no rows.
     """
     node = ["paper_name", "catalyst_id", "node_id"]
     raw = cut(_parsed(normalised.where(F.col("quantity").isin(*TRIED)).select(*node, "quantity_id", "quantity", "value", "low", "high")).select(*node, "quantity_id", "quantity", "low", "high", "lo", "hi"))
@@ -176,28 +179,42 @@ def infer_units(normalised: DataFrame) -> DataFrame:
         pick = F.struct(F.col("low").isNull().alias("open"), F.col("quantity_id").alias("quantity_id"), F.sqrt(F.col("low") * F.col("high")).alias("known"), F.sqrt(F.col("lo") * F.coalesce("hi", "lo")).alias("bare"))
         sets = rows.groupBy(*node).agg(*[F.min(F.when(F.col("quantity") == q, pick)).alias(q) for q in powers])
         full = F.lit(True)
-        missing = F.lit(False)
         for q in powers:
-            full, missing = full & F.col(q).isNotNull(), missing | F.col(f"{q}.open")
-        sets = sets.where(full).where(missing)
-        combos = F.array(F.struct(F.array().cast("array<string>").alias("units"), F.lit(-1.0 * _ln(constant)).alias("log")))
-        for q, power in powers.items():
-            tried = TRIED[q].split("|")
-            factors = {u: _ratio(q, u, tried[0]) for u in tried}
-            options = F.when(F.col(f"{q}.open"), F.array(*[F.struct(F.lit(u).alias("u"), (F.col(f"{q}.bare") * f).alias("v")) for u, f in factors.items()])).otherwise(
-                F.array(F.struct(F.lit(None).cast("string").alias("u"), F.col(f"{q}.known").alias("v"))))
-            combos = _crossed(combos, options, power)
-        ranked = F.array_sort(F.transform(combos, lambda c: F.struct(F.round(F.abs(c["log"]), 6).alias("residual"), c["units"].alias("units"))))
-        sets = sets.withColumn("_r", ranked).withColumn("_ok", F.size(F.filter("_r", lambda c: c["residual"] <= F.col("_r")[0]["residual"] + TOLERANCE)) == 1)
-        rows_out = F.array(*[F.struct(F.lit(q).alias("quantity"), F.col(f"{q}.quantity_id").alias("quantity_id"), F.col("_r")[0]["units"][i].alias("unit")) for i, q in enumerate(powers)])
-        got = sets.select(*node, F.lit(name).alias("identity"), F.inline(rows_out), F.col("_r")[0]["residual"].alias("residual"), F.col("_ok").alias("unique")).where("unit is not null")
+            full = full & F.col(q).isNotNull()
+        sets = sets.where(full)
+        sets = cut(_ranked(sets, powers, constant))
+        best = F.col("_r")[0]
+        rows_out = F.array(*[F.struct(F.lit(q).alias("quantity"), F.col(f"{q}.quantity_id").alias("quantity_id"), best["units"][i].alias("unit")) for i, q in enumerate(powers)])
+        got = sets.select(*node, F.lit(name).alias("identity"), F.inline(rows_out), best["residual"].alias("residual"), F.col("_ok").alias("unique")).where("unit is not null")
+        # Further rows: every quantity but the row's own has the value found above.
+        solved = sets.select(*node, F.col("_ok").alias("_node_ok"), *[F.struct(F.lit(False).alias("open"), F.col(f"{q}.quantity_id").alias("quantity_id"), best["values"][i].alias("known"), F.lit(None).cast("double").alias("bare")).alias(q) for i, q in enumerate(powers)])
+        more = join_on(rows.where("low is null").select(*node, "quantity", pick.alias("_pick")), solved, node, "inner")
+        taken = F.coalesce(*[F.when(F.col("quantity") == q, F.col("_pick.quantity_id") == F.col(f"{q}.quantity_id")) for q in powers])
+        more = more.where(~taken).select(*node, "quantity", "_node_ok", F.col("_pick.quantity_id").alias("quantity_id"), *[F.when(F.col("quantity") == q, F.col("_pick")).otherwise(F.col(q)).alias(q) for q in powers])
+        more = _ranked(more, powers, constant)
+        unit = F.coalesce(*[F.when(F.col("quantity") == q, best["units"][i]) for i, q in enumerate(powers)])
+        got = got.unionByName(more.select(*node, F.lit(name).alias("identity"), "quantity", "quantity_id", unit.alias("unit"), best["residual"].alias("residual"), (F.col("_ok") & F.col("_node_ok")).alias("unique")))
         out = got if out is None else out.unionByName(got)
     return out
 
 
+def _ranked(sets: DataFrame, powers: dict[str, int], constant: float) -> DataFrame:
+    """The combinations of units in order of residual, ``_r``, and whether the first has no rival, ``_ok``."""
+    combos = F.array(F.struct(F.array().cast("array<string>").alias("units"), F.array().cast("array<double>").alias("values"), F.lit(-1.0 * _ln(constant)).alias("log")))
+    for q, power in powers.items():
+        tried = TRIED[q].split("|")
+        factors = {u: _ratio(q, u, tried[0]) for u in tried}
+        options = F.when(F.col(f"{q}.open"), F.array(*[F.struct(F.lit(u).alias("u"), (F.col(f"{q}.bare") * f).alias("v")) for u, f in factors.items()])).otherwise(
+            F.array(F.struct(F.lit(None).cast("string").alias("u"), F.col(f"{q}.known").alias("v"))))
+        combos = _crossed(combos, options, power)
+    ranked = F.array_sort(F.transform(combos, lambda c: F.struct(F.round(F.abs(c["log"]), 6).alias("residual"), c["units"].alias("units"), c["values"].alias("values"))))
+    sets = sets.withColumn("_r", ranked)
+    return sets.withColumn("_ok", F.size(F.filter("_r", lambda c: c["residual"] <= F.col("_r")[0]["residual"] + TOLERANCE)) == 1)
+
+
 def _crossed(combos: Column, options: Column, power: int) -> Column:
     return F.flatten(F.transform(combos, lambda c: F.transform(options, lambda o: F.struct(
-        F.concat(c["units"], F.array(o["u"])).alias("units"), (c["log"] + F.ln(o["v"]) * power).alias("log")))))
+        F.concat(c["units"], F.array(o["u"])).alias("units"), F.concat(c["values"], F.array(o["v"])).alias("values"), (c["log"] + F.ln(o["v"]) * power).alias("log")))))
 
 
 def _ln(x: float) -> float:
