@@ -113,9 +113,64 @@ def test_scan_corners(spark):
     assert S.noisy_lines(df.limit(0)).count() == 0
 
 
-def test_join():
-    e = S.Editor({"impregnation": 90, "steady-state": 80, "oxide": 50}, {}, {})
-    assert e.joins("impreg", "nation", "-") and e.joins("unkn", "own", "¬") and not e.joins("steady", "state", "-")
+def _told(spark, words):
+    """Decisions over a corpus of given words: text_id is the word's number, a word a line."""
+    texts = spark.createDataFrame([(i, "\n".join([w] * n)) for i, (w, n) in enumerate(words)], "text_id long, full_text string")
+    survey = S._surveyed(texts)
+    return {r["item"]: r["meant"] for r in S.decisions(survey).collect()}
+
+
+STEMS = ("reference", "temperature", "precipitate", "concentrate", "regenerate", "treatment", "selective", "determine", "sediment", "element")
+
+
+def test_editor_is_no_count_rule(spark):
+    """Rare words that look like frequent ones stay if no confusion of the corpus explains them, and frequent ones stay whatever stands near."""
+    words = [(w, 200) for w in STEMS] + [(w.replace("e", "c", 1), 1) for w in STEMS] + [("calcined", 400), ("calcines", 60), ("xylene", 300), ("xylenc", 80)]
+    told = _told(spark, words)
+    assert {w.replace("e", "c", 1): w for w in STEMS}.items() <= told.items()
+    assert "calcines" not in told and "xylenc" not in told
+
+
+def test_joins_are_decided(spark):
+    text = "\n".join(["the impregnation of a steady-state support was measured"] * 60 + ["so the impreg-", "nation went on", "in a steady-", "state support"] * 20)
+    told = {r["item"] for r in S.decisions(S._surveyed(spark.createDataFrame([(1, text)], "text_id long, full_text string"))).collect()}
+    assert S.pair_item("impreg-", "nation") in told and S.pair_item("steady-", "state") not in told
+
+
+def test_scan_decisions_by_join_are_the_same(spark, monkeypatch):
+    texts = table(spark, "/root/testdata/sf0.001", "paper_text").select("text_id", "full_text")
+    sent = {tuple(r) for r in S.noisy_lines(texts).collect()}
+    clean = {tuple(r) for r in S.repaired(texts.where("text_id % 3 = 0")).collect()}
+    monkeypatch.setattr(S, "DECISIONS", 0)
+    assert {tuple(r) for r in S.noisy_lines(texts).collect()} == sent
+    assert {tuple(r) for r in S.repaired(texts.where("text_id % 3 = 0")).collect()} == clean
+
+
+CONFUSED = {"e": "c", "l": "1", "o": "0", "i": "l", "n": "u"}
+
+
+def test_scan_held_out_by_kind(spark):
+    """Random words of clean texts, misread in several ways, are found again, in each way."""
+    import re
+
+    texts = table(spark, "/root/testdata/sf0.01", "paper_text").select("text_id", "full_text").where("full_text is not null and lang = 'en'").orderBy("text_id").collect()
+    rng, planted, rows, often = random.Random(2), {k: set() for k in CONFUSED}, [], {}
+    for r in texts:
+        for w in re.findall(r"\b[a-z]{6,}\b", r.full_text):
+            often[w] = often.get(w, 0) + 1
+    for r in texts:
+        lines = r.full_text.split("\n")
+        for k, x in enumerate(lines):
+            kind = rng.choice(sorted(CONFUSED))
+            inner = [m.group() for m in re.finditer(r"(?<= )[a-z]{6,}(?= )", x) if kind in m.group()[1:-1] and often.get(m.group(), 0) >= 40]
+            if inner and not S._TABLE.search(x) and rng.random() < 0.1:
+                w = rng.choice(inner)
+                lines[k] = x.replace(f" {w} ", f" {w[0] + w[1:].replace(kind, CONFUSED[kind], 1)} ", 1)
+                planted[kind].add((r.text_id, k + 1))
+        rows.append((r.text_id, "\n".join(lines)))
+    got = {(r.text_id, r.line_no) for r in S.noisy_lines(spark.createDataFrame(rows, "text_id long, full_text string")).where("kind = 'misread'").collect()}
+    for cases in planted.values():
+        assert len(cases) > 10 and len(got & cases) >= 0.9 * len(cases)
 
 
 # --- leakage ---------------------------------------------------------------------------------------

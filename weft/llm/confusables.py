@@ -92,12 +92,20 @@ def _whole(word: str, script: str) -> bool:
     return len(word) > 2 and all(_SCRIPT_RUN[script].match(c) for c in word) and not word.translate(_LOOK).isascii()
 
 
+def suspicious(text: str) -> bool:
+    """True if the text may hold a character that its consistent form changes."""
+    return not text.isascii() and bool(_SUSPECT.search(text))
+
+
 def _suspect_class() -> str:
     """A pattern of the characters that the table or a composition could change."""
     chars = sorted(set(PROTOTYPE) - set(COMPATIBLE))
     return "[" + "".join(f"\\x{{{ord(c):04x}}}" for c in chars) + r"\x{ff10}-\x{ff5a}\x{fb00}-\x{fb06}\x{1d400}-\x{1d7ff}\x{2102}-\x{2134}\x{0132}\x{0133}\x{01c4}-\x{01cc}\x{01f1}-\x{01f3}\p{Mn}]"
 
 
+_SUSPECT = re.compile("[" + "".join(re.escape(c) for c in sorted(PROTOTYPE)) + "\u0300-\u036f]")
+
+
 @F.pandas_udf(T.StructType([T.StructField("clean", T.StringType()), T.StructField("skeleton", T.StringType())]))
 def _unify(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"clean": [None if t is None else consistent(t) for t in texts], "skeleton": [None if t is None else skeleton(t) for t in texts]})
