@@ -50,7 +50,7 @@ def _leaks(spark, d):
 
 
 def p8_found(spark, d):
-    return _leaks(spark, d).select("doc_id", "item_id").distinct()
+    return _leaks(spark, d).where("passage > 0").select("doc_id", "item_id").distinct()
 
 
 def p8_items(spark, d):
