@@ -183,7 +183,7 @@ ITEM = "Explain why the damp droplet softens an amber ferrule whenever the isoth
     (" ".join(ITEM.split()[3:13]), False), (" ".join(reversed(ITEM.split())), False), (" ".join(w if k % 3 else "other" for k, w in enumerate(ITEM.split())), False), ("", False), ("x " * 20_000, False),
 ])
 def test_leak(text, leaks):
-    assert bool(K.Items([(1, ITEM)]).passages(text)) == leaks
+    assert any(span for _, span, _ in K.Items([(1, ITEM)]).passages(text)) == leaks
 
 
 HAN = "甲乙丙丁戊己庚辛壬癸子丑寅卯辰巳午未申酉戌亥天地玄黄宇宙洪荒"
@@ -212,9 +212,35 @@ def test_skip_loses_no_passage(monkeypatch):
 def test_leak_blocks(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "a " + ITEM), (2, None), (3, ""), (1, "a " + ITEM)], "doc_id long, text string")
     items = spark.createDataFrame([(7, ITEM), (8, None), (9, "")] + [(k, f"word{k}") for k in range(20, 30)], "item_id long, text string")
-    monkeypatch.setattr(K, "BLOCK", 3)
-    assert {(r.doc_id, r.item_id) for r in K.leaks(docs, items).collect()} == {(1, 7)}
-    assert K.leaks(docs, items.limit(0)).count() == 0 and K.leaks(docs.limit(0), items).count() == 0
+    for sent in (K.SENT_TOKENS, 0):
+        monkeypatch.setattr(K, "SENT_TOKENS", sent)
+        assert {(r.doc_id, r.item_id) for r in K.leaks(docs, items).collect()} == {(1, 7)}
+        assert K.leaks(docs, items.limit(0)).count() == 0 and K.leaks(docs.limit(0), items).count() == 0
+
+
+def test_leaks_by_join_are_the_same(spark, small, monkeypatch):
+    docs, items = table(spark, small, "documents"), table(spark, small, "eval_items")
+    sent = {tuple(r) for r in K.leaks(docs, items).collect()}
+    monkeypatch.setattr(K, "SENT_TOKENS", 0)
+    monkeypatch.setattr(K, "FILTER_BITS", 1 << 14)
+    assert {tuple(r) for r in K.leaks(docs, items).collect()} == sent and sent
+
+
+WORDS48 = [f"word{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(48)]
+
+
+@pytest.mark.parametrize("size", [6, 8, 10])
+def test_tiles_in_other_order_are_covered(size):
+    parts = [WORDS48[k : k + size] for k in range(0, 48, size)]
+    (_, span, covered), = K.Items([(1, " ".join(WORDS48))]).passages(" ".join(w for p in reversed(parts) for w in p))
+    assert span == 0 and covered >= 45
+    assert not K.Items([(1, " ".join(WORDS48))]).passages(" ".join(w for p in reversed(parts[:2]) for w in p))
+
+
+def test_what_a_mark_leaves_free_is_a_tile():
+    item = WORDS48[:30]
+    (_, _, covered), = K.Items([(1, " ".join(item))]).passages(" ".join(item[:20] + ["between"] * 5 + item[14:]))
+    assert covered == 30
 
 
 def test_reordered_sentences_are_covered():
@@ -266,19 +292,30 @@ def test_subjects_held_out(spark):
     assert len(got & want) >= 0.85 * len(got) and len(got & want) >= 0.8 * len(want)
 
 
-def test_lexicon_reads_all_unlabelled(spark, monkeypatch):
-    rows = [(k, f"A {'turbine' if k % 2 else 'ribosome'} number {k}. The {'turbine' if k % 2 else 'ribosome'} again.") for k in range(80)]
-    # Words that stand in three unlabelled documents each.
-    rows = [(k, t + (f" Turbine with rareword{chr(97 + k // 6 % 13)}." if k % 2 else "")) for k, t in rows]
+def test_passing_frames_are_learned(spark):
+    """Statements that only mention a subject are told by wording that the labels give away, whatever the language."""
+    rng, rows, marks = random.Random(4), [], []
+    own = {"cells": "ribosome", "machines": "turbine", "law": "statute", "sport": "goalkeeper", "music": "cello", "food": "noodle"}
+    for k in range(480):
+        s, other = rng.sample(sorted(own), 2)
+        rows.append((k, f"The {own[s]} number {k} was seen. A {own[s]} again, of sort {k % 7}." + (f" Vom {own[other]} ist hier nur am Rande zu lesen." if k % 5 < 2 else "")))
+        marks.append((k, s))
+    lexicon, frames = J.learn(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, subject string"))
+    assert all(lexicon.get(t) == s for s, t in own.items())
+    assert any("am rande" in f for f in frames) and not any("again" in f for f in frames)
+    held = J.count_statements("Der turbine nur am Rande zu lesen. Ribosome here.", J.Reader(lexicon, frames))
+    assert held["cells"][:2] == (1, 0) and held["machines"][:2] == (0, 1)
+
+
+def test_the_sample_of_labels_is_bounded(spark, monkeypatch):
+    rows = [(k, f"A {'turbine' if k % 2 else 'ribosome'} number {k}.") for k in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    labels = spark.createDataFrame([(k, "machines" if k % 2 else "cells") for k in range(30)], "doc_id long, subject string")
-    monkeypatch.setattr(J, "LEAST_SCORE", 1.0)
-    got = J.learn_lexicon(docs, labels)
-    monkeypatch.setattr(J, "MAX_LABELLED", 30)
-    few = J.learn_lexicon(docs, labels)
-    assert few == got and {f"rareword{chr(97 + k)}" for k in range(13)} <= {t for t, s in few.items() if s == "machines"}
-    monkeypatch.setattr(J, "HELD", 50)
-    assert J.learn_lexicon(docs, labels) == got
+    labels = spark.createDataFrame([(k, "machines" if k % 2 else "cells") for k in range(60)], "doc_id long, subject string")
+    full = J.learn(docs, labels)
+    monkeypatch.setattr(J, "HELD", 5)
+    assert J.learn(docs, labels) == full
+    monkeypatch.setattr(J, "MAX_LABELLED", 2)
+    assert J.learn(docs, labels) == ({}, set())
 
 
 def test_subject_corners(spark):
