@@ -6,9 +6,9 @@ import duckdb
 import pytest
 
 from verify import rows
-from weft.plans import general, reference
+from weft.plans import general, reference, surface
 
-QUERIES, ORACLE = general.QUERIES | reference.QUERIES, general.ORACLE | reference.ORACLE
+QUERIES, ORACLE = general.QUERIES | reference.QUERIES | surface.QUERIES, general.ORACLE | reference.ORACLE | surface.ORACLE
 
 
 @pytest.fixture(scope="module")

@@ -65,3 +65,9 @@ def nested_only(rows: Column) -> Column:
     rows = F.filter(rows, lambda x: F.substring(x["t"], 1, 1).isin("{", "[", '"'))
     rows = F.transform(rows, lambda x: F.struct(x["path"].alias("path"), _unquote(x["t"]).alias("t")))
     return F.filter(rows, lambda x: (x["t"].startswith("{") & x["t"].endswith("}")) | (x["t"].startswith("[") & x["t"].endswith("]")))
+
+
+def plain_text(c: Column) -> Column:
+    """The text of a JSON text member without its quotes; any other JSON stays as it is, null stays null."""
+    t = strip_json(c)
+    return F.when(t == "null", None).otherwise(_unquote(t))

@@ -22,7 +22,7 @@ def clean_control(c: Column) -> Column:
 
 def strip_page_comments(c: Column) -> Column:
     for name in PAGE_COMMENTS:
-        c = F.regexp_replace(c, rf"<!-- {name}.*?-->", "")
+        c = F.regexp_replace(c, rf"<!--\s*{name}=.*?-->", "")
     return c
 
 

@@ -103,8 +103,9 @@ def constant_map(d: dict, kind: str) -> Column:
 
 
 def _lookup() -> Column:
-    forms = {f"{d}:{f}": [float(a), float(b)] for d, fs in FORMS.items() for (a, b), spelled in fs.items() for f in spelled.split("|")}
-    return constant_map(forms, "map<string,array<double>>")
+    """Forms by dimension; a map is searched entry by entry, so two small ones are faster than one of all."""
+    forms = {d: {f: [float(a), float(b)] for (a, b), spelled in fs.items() for f in spelled.split("|")} for d, fs in FORMS.items()}
+    return constant_map(forms, "map<string,map<string,array<double>>>")
 
 
 def _ways(quantity: Column) -> Column:
@@ -120,8 +121,8 @@ def factor_offset(quantity: Column, unit: Column) -> Column:
     table, unit = _lookup(), tidy(unit)
     parts = F.transform(F.array(unit), lambda u: F.when(u.isin(*sorted(_WHOLE)), F.array(u, F.lit(""))).otherwise(F.split(u, "/", 2)))
     each = F.transform(parts, lambda p: F.transform(_ways(quantity), lambda w: F.struct(
-        F.element_at(table, F.concat(w["num"], F.lit(":"), p[0])).alias("a"),
-        F.element_at(table, F.concat(w["den"], F.lit(":"), F.coalesce(F.get(p, F.lit(1)), F.lit("")))).alias("b"),
+        F.element_at(F.element_at(table, w["num"]), p[0]).alias("a"),
+        F.element_at(F.element_at(table, w["den"]), F.coalesce(F.get(p, F.lit(1)), F.lit(""))).alias("b"),
     )))
     fits = F.filter(F.flatten(each), lambda x: x["a"].isNotNull() & x["b"].isNotNull())
     return F.get(F.transform(fits, lambda x: F.array(x["a"][0] / x["b"][0], x["a"][1])), F.lit(0))

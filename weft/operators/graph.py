@@ -10,7 +10,7 @@ from weft.functions.names import filled, join_on, strip
 TREE = ["paper_name", "catalyst_id"]
 #: Labels of node types and of edge types in the property graph.
 NODE_LABELS = {"chemical": "Chemical", "synthesis": "Synthesis", "testing": "Testing", "characterization": "Characterization", "catalyst": "Catalyst"}
-EDGE_LABELS = {"synthesis_input": "SYNTHESIS_INPUT", "synthesis_output": "SYNTHESIS_OUTPUT", "tested_in": "TESTED_IN", "characterized_in": "CHARACTERIZED_IN"}
+EDGE_LABELS = {"synthesis_input": "SYNTHESIS_INPUT", "synthesis_output": "SYNTHESIS_OUTPUT", "tested_in": "TESTED_IN", "characterized_in": "CHARACTERIZED_IN", "appear_in": "APPEAR_IN", "with_basicmaterial": "WITH_BASICMATERIAL"}
 UNKNOWN_NODE, UNKNOWN_EDGE = "UnknownNode", "RELATED_TO"
 
 

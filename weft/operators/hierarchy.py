@@ -23,6 +23,8 @@ KINDS = ("chemical", "synthesis")
 #: Rows of whole trees that one task takes at a time, and from where a bucket is too large for that.
 BUCKET_ROWS, HOT_ROWS = 50_000, 400_000
 NOTHING, SEP = "\x02", "\x01"
+#: Mark before each id of a path.
+PATH = "\x03"
 
 
 def live_nodes(nodes: DataFrame) -> DataFrame:
@@ -73,7 +75,11 @@ def resolve(nodes: DataFrame, links: DataFrame, with_paths: bool = False) -> Dat
 
 
 def _double(nodes: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
-    """Root and depth for a few whole trees at once; pointers are positions in an array."""
+    """Root, depth, path and descendants for a few whole trees at once; pointers are positions in an array.
+
+    A round joins each open node with the node its pointer stands on: the pointer
+    jumps twice as far, and that node's path segment goes before its own.
+    """
     if not len(nodes):
         return pd.DataFrame()
     tree = lambda t: t["paper_name"].fillna(NOTHING) + SEP + t["catalyst_id"].fillna(NOTHING) + SEP
@@ -86,51 +92,85 @@ def _double(nodes: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
     up[kept["child"]], depth[kept["child"]] = kept["parent"], 1
     is_root = np.ones(len(nodes), dtype=bool)
     is_root[kept["child"]] = False
-    left = -1
-    while (now := int((~is_root[up]).sum())) and now != left:
-        left = now
-        depth, up = depth + depth[up], up[up]
+    ids, parent_of = nodes["id"].to_numpy(dtype=object), up.copy()
+    left, open_ = -1, np.flatnonzero(~is_root[up])
+    while len(open_) and len(open_) != left:
+        left, ahead = len(open_), up[open_]
+        depth[open_], up[open_] = depth[open_] + depth[ahead], up[ahead]
+        open_ = np.flatnonzero(~is_root[up])
     loop = ~is_root[up]
+    # The same once more with path segments, without the loops, on which they would grow for ever.  A segment
+    # begins behind the node that its pointer stands on and ends at the node itself; the root's own comes last.
+    path, jump = PATH + ids, parent_of.copy()
+    open_ = np.flatnonzero(~is_root[jump] & ~loop)
+    while len(open_):
+        ahead = jump[open_]
+        path[open_], jump[open_] = path[ahead] + path[open_], jump[ahead]
+        open_ = open_[~is_root[jump[open_]]]
+    below = ~is_root & ~loop
+    path[below] = path[up[below]] + path[below]
+    # Subtrees are added up from the deepest nodes on.
+    size = np.ones(len(nodes), dtype="int64")
+    for d in range(int(depth[~loop].max(initial=0)), 0, -1):
+        at = np.flatnonzero((depth == d) & ~loop)
+        np.add.at(size, parent_of[at], size[at])
     out = nodes[["paper_name", "catalyst_id", "id"]].copy()
-    out["root_id"] = np.where(loop, "", nodes["id"].to_numpy()[up])
+    out["root_id"] = np.where(loop, "", ids[up])
     out["depth"] = np.where(loop, -1, depth)
+    out["path"] = np.where(loop, "", path)
+    out["n_descendants"] = np.where(loop, 0, size - 1)
+    step = parent_of[parent_of]
+    has = ~loop & (depth > 1)
+    out["step_above"] = np.where(has, ids[step], None)
     return out
 
 
-def hierarchy(nodes: DataFrame, edges: DataFrame, with_paths: bool = False) -> DataFrame:
-    """Root and depth of every live node of ``tree_nodes`` under ``tree_edges``.
+def hierarchy(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Root, depth, path, descendants and next step above of every live node of ``tree_nodes`` under ``tree_edges``.
 
-    Trees come together in buckets of about ``BUCKET_ROWS`` rows, whose pointers
-    are doubled in one task.  Trees in a bucket of more than ``HOT_ROWS`` rows
-    (one that holds a large tree) are doubled by joins instead, as are all trees
-    if paths are wanted; results are the same.
+    Returns tree columns, id, root_id, depth, path (ids from the root, each after
+    a ``PATH`` mark), n_descendants, step_above.  Trees come together in buckets
+    of about ``BUCKET_ROWS`` rows, whose pointers are doubled in one task.  Trees
+    in a bucket of more than ``HOT_ROWS`` rows (one that holds a large tree) are
+    doubled by joins of tables instead; results are the same.
 
     Ids are compared without blanks around them; null tree columns compare equal;
     null or empty ids are no node; repeated edges count once; empty tables give
     no rows; other columns are ignored.
     """
-    if with_paths:
-        live = cut(live_nodes(nodes))
-        return resolve(live, parent_links(live, edges), with_paths)
     wanted = edges.where(F.lower(strip("type")).isin(*LINKS))
-    total = nodes.count() + edges.count()
-    n = max(1, -(-total // BUCKET_ROWS))
-    bucket = F.pmod(F.xxhash64(*TREE), F.lit(n))
-    sizes = nodes.select(bucket.alias("b")).unionByName(wanted.select(bucket.alias("b"))).groupBy("b").count().where(F.col("count") > HOT_ROWS)
-    # At most total / HOT_ROWS buckets are that large.
-    hot = [r["b"] for r in sizes.select("b").collect()]
-    cold = ~bucket.isin(hot) if hot else F.lit(True)
-    ours = nodes.where(cold).select(bucket.alias("b"), *TREE, strip("id").alias("id"), "loaded_at", "row_id", F.struct("op", "type").alias("rec"))
-    ours = ours.where(filled(F.col("id"))).repartition(max(1, n // 4), "b").groupBy("b", *TREE, "id").agg(F.max_by("rec", F.struct("loaded_at", "row_id")).alias("rec"))
-    ours = ours.where(F.coalesce(F.lower("rec.op"), F.lit("add")) != "delete").where(F.col("rec.type").isin(*KINDS)).select("b", *TREE, "id")
-    links = wanted.where(cold).select(bucket.alias("b"), *TREE, strip("source_id").alias("id"), strip("target_id").alias("parent"))
-    links = links.where(filled(F.col("id")) & filled(F.col("parent"))).repartition(max(1, n // 4), "b")
-    schema = "paper_name string, catalyst_id string, id string, root_id string, depth bigint"
-    out = ours.groupBy("b").cogroup(links.groupBy("b")).applyInPandas(_double, schema)
-    if hot:
-        live = cut(live_nodes(nodes.where(~cold)))
-        out = out.unionByName(resolve(live, parent_links(live, edges.where(~cold))))
-    return out
+    n = max(1, -(-(nodes.count() + edges.count()) // BUCKET_ROWS))
+    bucket = F.pmod(F.xxhash64(*TREE), F.lit(n)).alias("b")
+    ours = nodes.select(bucket, *TREE, strip("id").alias("id"), "loaded_at", "row_id", F.struct("op", "type", "synthesis_level").alias("rec"))
+    links = wanted.select(bucket, *TREE, strip("source_id").alias("id"), strip("target_id").alias("parent")).where(filled(F.col("id")) & filled(F.col("parent")))
+    sizes = nodes.select(bucket).unionByName(wanted.select(bucket)).groupBy("b").count()
+    # Which buckets are large stays a table; it is joined only if there is one.
+    hot = cut(sizes.where(F.col("count") > HOT_ROWS).select("b"))
+    any_hot = not hot.isEmpty()
+    cold = ours.join(hot, "b", "left_anti") if any_hot else ours
+    cold_links = links.join(hot, "b", "left_anti") if any_hot else links
+    # The shuffle's own number of partitions; a task takes its buckets one after another.
+    cold = cold.where(filled(F.col("id"))).repartition("b").groupBy("b", *TREE, "id").agg(F.max_by("rec", F.struct("loaded_at", "row_id")).alias("rec"))
+    cold = cold.where(F.coalesce(F.lower("rec.op"), F.lit("add")) != "delete").where(F.col("rec.type").isin(*KINDS)).select("b", *TREE, "id")
+    schema = "paper_name string, catalyst_id string, id string, root_id string, depth bigint, path string, n_descendants bigint, step_above string"
+    out = cold.groupBy("b").cogroup(cold_links.groupBy("b")).applyInPandas(_double, schema)
+    return out.unionByName(_by_joins(nodes, edges, bucket, hot)) if any_hot else out
+
+
+def _by_joins(nodes: DataFrame, edges: DataFrame, bucket, hot: DataFrame) -> DataFrame:
+    """``hierarchy`` of the trees in hot buckets: pointers and paths are tables, doubled by joins."""
+    mine = lambda df: df.withColumn("b", bucket).join(hot, "b", "left_semi").drop("b")
+    live = cut(live_nodes(mine(nodes)))
+    links = cut(parent_links(live, mine(edges)))
+    # Loops are found first, as paths on them would grow for ever.
+    plain = cut(resolve(live, links))
+    whole = plain.where("depth >= 0").select(*TREE, "id")
+    tree = resolve(whole, join_on(links, whole, [*TREE, "id"], "left_semi"), with_paths=True)
+    tree = cut(tree.unionByName(plain.where("depth < 0").withColumn("path", F.array().cast("array<string>"))))
+    counts = descendants(tree).groupBy(*TREE, "id").agg(F.count("*").alias("n_descendants"))
+    out = join_on(tree, counts, [*TREE, "id"], "left")
+    path = F.array_join(F.transform("path", lambda x: F.concat(F.lit(PATH), x)), "")
+    return out.select(*TREE, "id", "root_id", "depth", path.alias("path"), F.coalesce("n_descendants", F.lit(0)).alias("n_descendants"), F.get(F.reverse("path"), F.lit(2)).alias("step_above"))
 
 
 def descendants(paths: DataFrame) -> DataFrame:
@@ -140,21 +180,24 @@ def descendants(paths: DataFrame) -> DataFrame:
     ).select(*TREE, "id", "descendant_id", (F.col("depth") - F.col("pos")).alias("distance"))
 
 
+def with_path_ids(tree: DataFrame) -> DataFrame:
+    """``hierarchy`` with its path as an array of ids."""
+    return tree.withColumn("path", F.when(F.col("path") == "", F.array().cast("array<string>")).otherwise(F.split(F.expr("substring(path, 2)"), PATH)))
+
+
 def full_hierarchy(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Path text, depth, root, number of descendants, and whether ``synthesis_level`` contradicts the tree.
 
     Towards the root the level of synthesis steps must rise; a step is flagged if its
     recorded level is not below that of the next step towards the root.  Nodes on loops are never flagged.
     """
-    live = cut(live_nodes(nodes))
-    tree = cut(resolve(live, parent_links(live, edges), with_paths=True))
-    counts = descendants(tree).groupBy(*TREE, "id").agg(F.count("*").alias("n_descendants"))
-    up = tree.select(*TREE, "id", F.get(F.reverse("path"), F.lit(2)).alias("step_above")).where(F.col("step_above").isNotNull())
-    levels = live.where("type = 'synthesis' and synthesis_level is not null").select(*TREE, "id", F.col("synthesis_level").alias("level"))
+    tree = cut(hierarchy(nodes, edges))
+    levels = live_nodes(nodes).where("type = 'synthesis' and synthesis_level is not null").select(*TREE, "id", F.col("synthesis_level").alias("level"))
+    levels = cut(levels)
     above = levels.select(*TREE, F.col("id").alias("step_above"), F.col("level").alias("level_above"))
-    clash = join_on(join_on(up, levels, [*TREE, "id"], "inner"), above, [*TREE, "step_above"], "inner").where("level >= level_above").select(*TREE, "id", F.lit(True).alias("level_contradicts"))
-    out = join_on(join_on(tree, counts, [*TREE, "id"], "left"), clash, [*TREE, "id"], "left")
-    return out.select(
-        *TREE, "id", F.array_join("path", "/").alias("path"), "depth", "root_id", (F.col("depth") == -1).alias("in_loop"),
-        F.coalesce("n_descendants", F.lit(0)).alias("n_descendants"), F.coalesce("level_contradicts", F.lit(False)).alias("level_contradicts"),
+    steps = join_on(tree.where("step_above is not null").select(*TREE, "id", "step_above"), levels, [*TREE, "id"], "inner")
+    clash = join_on(steps, above, [*TREE, "step_above"], "inner").where("level >= level_above").select(*TREE, "id", F.lit(True).alias("level_contradicts"))
+    return join_on(tree, clash, [*TREE, "id"], "left").select(
+        *TREE, "id", F.replace(F.expr("substring(path, 2)"), F.lit(PATH), F.lit("/")).alias("path"), "depth", "root_id", (F.col("depth") == -1).alias("in_loop"),
+        "n_descendants", F.coalesce("level_contradicts", F.lit(False)).alias("level_contradicts"),
     )

@@ -82,14 +82,16 @@ def reach(targets: DataFrame, edges: DataFrame, most: int | None = None) -> Data
     """
     n = max(1, -(-edges.count() // BUCKET_ROWS))
     bucket = F.pmod(F.xxhash64(*TREE), F.lit(n))
-    # At most edges / HOT_ROWS buckets are that large.
-    hot = [r["b"] for r in edges.groupBy(bucket.alias("b")).count().where(F.col("count") > HOT_ROWS).select("b").collect()]
-    cold = ~bucket.isin(hot) if hot else F.lit(True)
-    t = targets.where(cold).where("target_id is not null").select(bucket.alias("b"), *TREE, "target_id").distinct().repartition(max(1, n // 4), "b")
-    e = edges.where(cold).where("source_id is not null and target_id is not null").select(bucket.alias("b"), *TREE, "source_id", "target_id").repartition(max(1, n // 4), "b").dropDuplicates()
+    # Which buckets are large stays a table; it is joined only if there is one.
+    hot = cut(edges.groupBy(bucket.alias("b")).count().where(F.col("count") > HOT_ROWS).select("b"))
+    any_hot = not hot.isEmpty()
+    cold = lambda df: df.withColumn("b", bucket).join(hot, "b", "left_anti") if any_hot else df.withColumn("b", bucket)
+    large = lambda df: df.withColumn("b", bucket).join(hot, "b", "left_semi").drop("b")
+    t = cold(targets.where("target_id is not null").select(*TREE, "target_id")).distinct().repartition("b")
+    e = cold(edges.where("source_id is not null and target_id is not null").select(*TREE, "source_id", "target_id")).repartition("b").dropDuplicates()
     schema = "paper_name string, catalyst_id string, target_id string, id string, dist int"
     out = t.groupBy("b").cogroup(e.groupBy("b")).applyInPandas(_walk(most), schema)
-    return out.unionByName(reach_by_joins(targets.where(~cold), edges.where(~cold), most)) if hot else out
+    return out.unionByName(reach_by_joins(large(targets), large(edges), most)) if any_hot else out
 
 
 def levels(reached: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -19,8 +19,8 @@ KEY = ["paper_name", "catalyst_id", "key"]
 #: Stand-ins for absent times: a parent without a time was there from the start,
 #: a child without a time sees everything.
 FIRST, LAST = "0001-01-01 00:00:00", "9999-12-31 00:00:00"
-#: Hash buckets of keys, and the share of all rows from which a bucket counts as hot.
-BUCKETS, HOT = 4096, 0.01
+#: Hash buckets of keys; rows of one key that a task takes; parts that the rows of larger keys are split into when they are joined.
+BUCKETS, HOT_ROWS, PARTS = 65_536, 300_000, 64
 
 
 def _ts(c: str, otherwise: str):
@@ -72,14 +72,18 @@ def _by_groups(parents: DataFrame, children: DataFrame) -> DataFrame:
         F.min(F.when(F.col("is_parent"), F.col("ts"))).alias("first_parent"), F.min(F.when(~F.col("is_parent"), F.col("ts"))).alias("first_child"),
     )
     suspect = groups.where("has_child and (not has_parent or any_delete or first_parent > first_child)").select(*KEY, "has_parent", "any_delete", "first_parent")
-    judged = join_on(children, suspect, KEY, "inner")
+    # A key may hold a third of all rows: its children are spread over parts, each with a copy of the key's summary.
+    part = F.pmod(F.xxhash64("row_id", "side"), F.lit(PARTS)).cast("int").alias("part")
+    copies = suspect.select("*", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
+    judged = join_on(children.select("*", part), copies, [*KEY, "part"], "inner").drop("part")
     plain = judged.where("not has_parent or ts < first_parent").select(
         "row_id", "side", F.when(F.col("has_parent"), "late").otherwise("missing").alias("reason"), "loaded_at"
     )
     asked = judged.where("any_delete and ts >= first_parent")
     deleting = suspect.where("any_delete").select(*KEY)
     then = status_as_of(join_on(parents, deleting, KEY, "left_semi"), asked)
-    gone = join_on(asked, then.where("op_then = 'delete'"), [*KEY, "ts"], "left_semi").select("row_id", "side", F.lit("deleted").alias("reason"), "loaded_at")
+    then = then.where("op_then = 'delete'").select("*", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
+    gone = join_on(asked.select("*", part), then, [*KEY, "ts", "part"], "left_semi").select("row_id", "side", F.lit("deleted").alias("reason"), "loaded_at")
     return plain.unionByName(gone)
 
 
@@ -109,12 +113,13 @@ def orphan_ends(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     Null or blank ends are no reference; null tree columns compare equal to each
     other; a null node time means "always there", a null edge time "after all".
     Repeated rows count each; empty tables give no rows; other columns are ignored.
-    Keys in a hash bucket with more than ``HOT`` of all rows, of which there are
-    1 / HOT at most, take a way without whole groups in a task; results are the same.
+    Keys of about ``HOT_ROWS`` rows or more stand out from their hash bucket's
+    share of all rows; their buckets take a way without whole groups in a task.
+    The list of such buckets is bounded by ``BUCKETS``; results are the same.
     """
     parents, children = parent_keys(nodes), child_keys(edges)
     sizes = parents.select(_bucket().alias("b")).unionByName(children.select(_bucket().alias("b"))).groupBy("b").count().collect()
-    limit = HOT * sum(r["count"] for r in sizes)
+    limit = sum(r["count"] for r in sizes) / BUCKETS + HOT_ROWS / 2
     hot = [r["b"] for r in sizes if r["count"] > limit]
     if not hot:
         return _by_window(parents, children)

@@ -109,12 +109,12 @@ def normalise(quantities: DataFrame, reference: DataFrame) -> DataFrame:
     # Mentions in the running text: number or span, and a unit that fits the quantity.
     spot = rf"(?<![\w.,])({NUM})(?:{_TO}({NUM}))?\s?({U.mention_pattern()})"
     text = F.regexp_replace(F.translate(F.col("source_text"), "²³⁻¹", "23-1"), r"(?<=[A-Za-z])\^", "")
-    seen = F.lit(spot)
-    has_text = F.length("source_text") > 0
-    for k, name in ((1, "_ma"), (2, "_mb"), (3, "_mu")):
-        df = df.withColumn(name, F.when(has_text, F.regexp_extract_all(text, seen, F.lit(k))))
-    df = df.withColumn("_said", F.transform(F.arrays_zip("_ma", "_mb", "_mu"), lambda x: F.struct(
-        number(x["_ma"]).alias("lo"), F.coalesce(number(F.nullif(x["_mb"], F.lit(""))), number(x["_ma"])).alias("hi"), U.factor_offset(q, x["_mu"]).alias("fo"))))
+    # The text is searched once; the parts of a mention are then read from the mention alone.
+    mention, part = rf"^({NUM})(?:{_TO}({NUM}))?\s?(.+)$", F.regexp_extract
+    df = df.withColumn("_m", F.when(F.col("source_text").rlike(r"\d"), F.regexp_extract_all(text, F.lit(spot), F.lit(0))))
+    df = df.withColumn("_m", F.transform("_m", lambda x: F.struct(part(x, mention, 1).alias("a"), part(x, mention, 2).alias("b"), part(x, mention, 3).alias("u"))))
+    df = df.withColumn("_said", F.transform("_m", lambda x: F.struct(
+        number(x["a"]).alias("lo"), F.coalesce(number(F.nullif(x["b"], F.lit(""))), number(x["a"])).alias("hi"), U.factor_offset(q, x["u"]).alias("fo"))))
     df = df.withColumn("_said", F.coalesce(F.filter("_said", lambda x: x["fo"].isNotNull() & x["lo"].isNotNull()), F.array().cast("array<struct<lo:double,hi:double,fo:array<double>>>")))
     t = F.col("_t_fo")
     common = lambda v, fo: (v * fo[0] + fo[1] - t[1]) / t[0]
@@ -154,8 +154,20 @@ def converted(quantities: DataFrame, reference: DataFrame) -> DataFrame:
 #: Identities among the rows of a node: product of quantities with these exponents,
 #: in common units, is the constant.  d = 4 V / A with d in nm, V in cm3/g, A in m2/g.
 NODE_IDENTITIES = {"mean_pore_width": ({"pore_diameter": 1, "pore_volume": -1, "surface_area": 1}, 4000.0)}
-#: Units tried for a row without one (fixed values, common ones first).
-TRIED = {"pore_diameter": "nm|Å|µm", "pore_volume": "cm3/g|mm3/g|L/kg", "surface_area": "m2/g|cm2/g|m2/kg"}
+#: The log residual up to which an identity holds: pores are no cylinders, so values may be off by a factor of 1.5.
+MOST_RESIDUAL = 0.405
+
+
+def tried(quantity: str) -> dict[str, float]:
+    """All units of a quantity that differ, by their first spelled form, with the factor to its base units."""
+    out: dict[str, float] = {}
+    num, den = U.IDENTITIES[quantity][0]
+    for (b, _), below in U.FORMS[den].items():
+        for (a, _), top in U.FORMS[num].items():
+            name = top.split("|")[0] + (f"/{below.split('|')[0]}" if den != "one" else "")
+            if not any(abs(a / b / f - 1) < 1e-9 for f in out.values()):
+                out[name] = a / b
+    return out
 
 
 def infer_units(normalised: DataFrame) -> DataFrame:
@@ -165,14 +177,16 @@ def infer_units(normalised: DataFrame) -> DataFrame:
     of each quantity is taken (the smallest quantity_id; stated ones first), all
     combinations of the tried units are compared by the log residual of the
     identity, and the least one is returned with the residual and with
-    ``unique`` false if another combination comes as close.  Each further row
+    ``unique`` false if another combination comes as close.  Where even the least
+    residual is above ``MOST_RESIDUAL`` the identity doesn't hold and there is no
+    unit (null, not unique).  Each further row
     without a unit stands in for its quantity beside the values so found of the
     others, and is not unique where these are not.  Per row the work is bounded
     by the number of tried units.  Nodes without a missing unit, or lacking a
     quantity of the identity, give no rows.
     """
     node = ["paper_name", "catalyst_id", "node_id"]
-    raw = cut(_parsed(normalised.where(F.col("quantity").isin(*TRIED)).select(*node, "quantity_id", "quantity", "value", "low", "high")).select(*node, "quantity_id", "quantity", "low", "high", "lo", "hi"))
+    raw = cut(_parsed(normalised.where(F.col("quantity").isin(*{q for powers, _ in NODE_IDENTITIES.values() for q in powers})).select(*node, "quantity_id", "quantity", "value", "low", "high")).select(*node, "quantity_id", "quantity", "low", "high", "lo", "hi"))
     out = None
     for name, (powers, constant) in NODE_IDENTITIES.items():
         rows = raw.where(F.col("quantity").isin(*powers) & (F.col("low").isNotNull() | (F.col("lo") > 0)))
@@ -184,8 +198,9 @@ def infer_units(normalised: DataFrame) -> DataFrame:
         sets = sets.where(full)
         sets = cut(_ranked(sets, powers, constant))
         best = F.col("_r")[0]
-        rows_out = F.array(*[F.struct(F.lit(q).alias("quantity"), F.col(f"{q}.quantity_id").alias("quantity_id"), best["units"][i].alias("unit")) for i, q in enumerate(powers)])
-        got = sets.select(*node, F.lit(name).alias("identity"), F.inline(rows_out), best["residual"].alias("residual"), F.col("_ok").alias("unique")).where("unit is not null")
+        open_one = F.col("open")
+        rows_out = F.array(*[F.struct(F.lit(q).alias("quantity"), F.col(f"{q}.quantity_id").alias("quantity_id"), F.when(F.col("_holds"), best["units"][i]).alias("unit"), F.col(f"{q}.open").alias("open")) for i, q in enumerate(powers)])
+        got = sets.select(*node, F.lit(name).alias("identity"), F.inline(rows_out), best["residual"].alias("residual"), F.col("_ok").alias("unique")).where(open_one).drop("open")
         # Further rows: every quantity but the row's own has the value found above.
         solved = sets.select(*node, F.col("_ok").alias("_node_ok"), *[F.struct(F.lit(False).alias("open"), F.col(f"{q}.quantity_id").alias("quantity_id"), best["values"][i].alias("known"), F.lit(None).cast("double").alias("bare")).alias(q) for i, q in enumerate(powers)])
         more = join_on(rows.where("low is null").select(*node, "quantity", pick.alias("_pick")), solved, node, "inner")
@@ -193,7 +208,7 @@ def infer_units(normalised: DataFrame) -> DataFrame:
         more = more.where(~taken).select(*node, "quantity", "_node_ok", F.col("_pick.quantity_id").alias("quantity_id"), *[F.when(F.col("quantity") == q, F.col("_pick")).otherwise(F.col(q)).alias(q) for q in powers])
         more = _ranked(more, powers, constant)
         unit = F.coalesce(*[F.when(F.col("quantity") == q, best["units"][i]) for i, q in enumerate(powers)])
-        got = got.unionByName(more.select(*node, F.lit(name).alias("identity"), "quantity", "quantity_id", unit.alias("unit"), best["residual"].alias("residual"), (F.col("_ok") & F.col("_node_ok")).alias("unique")))
+        got = got.unionByName(more.select(*node, F.lit(name).alias("identity"), "quantity", "quantity_id", F.when(F.col("_holds"), unit).alias("unit"), best["residual"].alias("residual"), (F.col("_ok") & F.col("_node_ok")).alias("unique")))
         out = got if out is None else out.unionByName(got)
     return out
 
@@ -202,14 +217,14 @@ def _ranked(sets: DataFrame, powers: dict[str, int], constant: float) -> DataFra
     """The combinations of units in order of residual, ``_r``, and whether the first has no rival, ``_ok``."""
     combos = F.array(F.struct(F.array().cast("array<string>").alias("units"), F.array().cast("array<double>").alias("values"), F.lit(-1.0 * _ln(constant)).alias("log")))
     for q, power in powers.items():
-        tried = TRIED[q].split("|")
-        factors = {u: _ratio(q, u, tried[0]) for u in tried}
-        options = F.when(F.col(f"{q}.open"), F.array(*[F.struct(F.lit(u).alias("u"), (F.col(f"{q}.bare") * f).alias("v")) for u, f in factors.items()])).otherwise(
+        # Known values are in the common unit, whose factor is that of the first identity's unit.
+        common = _common(q)
+        options = F.when(F.col(f"{q}.open"), F.array(*[F.struct(F.lit(u).alias("u"), (F.col(f"{q}.bare") * (f / common)).alias("v")) for u, f in tried(q).items()])).otherwise(
             F.array(F.struct(F.lit(None).cast("string").alias("u"), F.col(f"{q}.known").alias("v"))))
         combos = _crossed(combos, options, power)
     ranked = F.array_sort(F.transform(combos, lambda c: F.struct(F.round(F.abs(c["log"]), 6).alias("residual"), c["units"].alias("units"), c["values"].alias("values"))))
-    sets = sets.withColumn("_r", ranked)
-    return sets.withColumn("_ok", F.size(F.filter("_r", lambda c: c["residual"] <= F.col("_r")[0]["residual"] + TOLERANCE)) == 1)
+    sets = sets.withColumn("_r", ranked).withColumn("_holds", F.col("_r")[0]["residual"] <= MOST_RESIDUAL)
+    return sets.withColumn("_ok", F.col("_holds") & (F.size(F.filter("_r", lambda c: c["residual"] <= F.col("_r")[0]["residual"] + TOLERANCE)) == 1))
 
 
 def _crossed(combos: Column, options: Column, power: int) -> Column:
@@ -223,13 +238,7 @@ def _ln(x: float) -> float:
     return log(x)
 
 
-def _ratio(quantity: str, unit: str, to: str) -> float:
-    """Factor between two unit texts of a quantity, from the tables."""
-
-    def one(u: str) -> float:
-        top, _, below = u.partition("/")
-        num, den = U.IDENTITIES[quantity][0]
-        find = lambda d, f: next(a for (a, _), spelled in U.FORMS[d].items() if f in spelled.split("|"))
-        return find(num, top) / find(den, below)
-
-    return one(unit) / one(to)
+def _common(quantity: str) -> float:
+    """Factor of the unit in which an identity takes a quantity: nm, cm3/g, m2/g."""
+    num, den = U.IDENTITIES[quantity][0]
+    return next(a for a, _ in U.FORMS[num] if a == 1) / next(a for a, _ in U.FORMS[den] if a == 1)

@@ -35,7 +35,7 @@ def p5_by_month(spark, d):
 
 
 def p6_found(spark, d):
-    return hierarchy.hierarchy(*_tree(spark, d))
+    return hierarchy.hierarchy(*_tree(spark, d)).select(*hierarchy.TREE, "id", "root_id", "depth")
 
 
 def p6_hierarchy(spark, d):
@@ -43,7 +43,7 @@ def p6_hierarchy(spark, d):
 
 
 def p6_descendants(spark, d):
-    return hierarchy.descendants(hierarchy.hierarchy(*_tree(spark, d), with_paths=True))
+    return hierarchy.descendants(hierarchy.with_path_ids(hierarchy.hierarchy(*_tree(spark, d))))
 
 
 def p7_found(spark, d):

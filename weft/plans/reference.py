@@ -142,7 +142,7 @@ def label_assign(s, d):
     return nodes(s, d).select("row_id", G.label(F.col("type"), F.col("is_tested_catalyst")).alias("label"))
 
 
-@query("""SELECT CASE lower(trim(type)) WHEN 'synthesis_input' THEN 'SYNTHESIS_INPUT' WHEN 'synthesis_output' THEN 'SYNTHESIS_OUTPUT' WHEN 'tested_in' THEN 'TESTED_IN' WHEN 'characterized_in' THEN 'CHARACTERIZED_IN' ELSE 'RELATED_TO' END AS rel_type, count(*) AS n FROM tree_edges GROUP BY ALL""")
+@query("""SELECT CASE lower(trim(type)) WHEN 'synthesis_input' THEN 'SYNTHESIS_INPUT' WHEN 'synthesis_output' THEN 'SYNTHESIS_OUTPUT' WHEN 'tested_in' THEN 'TESTED_IN' WHEN 'characterized_in' THEN 'CHARACTERIZED_IN' WHEN 'appear_in' THEN 'APPEAR_IN' WHEN 'with_basicmaterial' THEN 'WITH_BASICMATERIAL' ELSE 'RELATED_TO' END AS rel_type, count(*) AS n FROM tree_edges GROUP BY ALL""")
 def rel_type_map(s, d):
     return edges(s, d).groupBy(G.relation(F.col("type")).alias("rel_type")).agg(F.count("*").alias("n"))
 
@@ -196,18 +196,6 @@ def name_base(s, d):
     return nodes(s, d).where("type = 'chemical'").select("row_id", X.name_base(F.col("name")).alias("base"))
 
 
-@query("""WITH m AS (SELECT DISTINCT paper_name, catalyst_id, trim(id) AS node_id, nullif(trim(split_part(name, '(', 1)), '') AS by_name FROM tree_nodes WHERE type = 'chemical'),
-k AS (SELECT DISTINCT paper_name, catalyst_id, trim(node_id) AS node_id, nullif(trim(split_part(quantity, '(', 1)), '') AS material FROM node_quantities WHERE holder = 'composition')
-SELECT paper_name, catalyst_id, node_id, material, 'composition' AS source_property FROM k WHERE material IS NOT NULL
-UNION SELECT paper_name, catalyst_id, node_id, by_name, 'name' FROM m WHERE by_name IS NOT NULL AND NOT EXISTS (SELECT 1 FROM k WHERE k.paper_name = m.paper_name AND k.catalyst_id = m.catalyst_id AND k.node_id = m.node_id)""")
-def basic_materials(s, d):
-    """Materials of each chemical: the keys of its composition, else its name."""
-    keys = table(s, d, "node_quantities").where("holder = 'composition'").select(*TREE, strip("node_id").alias("node_id"), X.name_base(F.col("quantity")).alias("material")).where("material is not null").distinct()
-    names = nodes(s, d).where("type = 'chemical'").select(*TREE, strip("id").alias("node_id"), X.name_base(F.col("name")).alias("material")).where("material is not null").distinct()
-    rest = join_on(names, keys.select(*TREE, "node_id").distinct(), [*TREE, "node_id"], "left_anti")
-    return keys.withColumn("source_property", F.lit("composition")).unionByName(rest.withColumn("source_property", F.lit("name")))
-
-
 # --- lineage --------------------------------------------------------------------------------------
 
 _REACH = """WITH RECURSIVE e AS (SELECT DISTINCT paper_name AS p, catalyst_id AS c, trim(source_id) AS s, trim(target_id) AS t FROM tree_edges WHERE trim(source_id) <> '' AND trim(target_id) <> ''),
@@ -359,32 +347,55 @@ def md5_key(s, d):
 
 # --- runs, usage, aggregates ----------------------------------------------------------------------
 
-STATUSES = ("success", "warning_no_synthesis_data", "warning_no_testing_data", "error_no_data_extracted", "worker_error")
-_IN = ", ".join(f"'{x}'" for x in STATUSES)
+#: Statuses of runs.
+STATUSES = ("success", "warning_no_synthesis_data", "warning_no_testing_data", "warning_no_testing_data_expected", "error_no_data_extracted", "worker_error", "other")
+_IN = ", ".join(f"('{x}')" for x in STATUSES)
 
 
-@query(f"SELECT CASE WHEN status IN ({_IN}) THEN status ELSE 'other' END AS status, count(*) AS n, count(*) FILTER (WHERE ml_generation_status = 'done') AS n_ml_done, count(*) FILTER (WHERE ml_generation_status = 'skipped') AS n_ml_skipped FROM run_meta GROUP BY 1")
+@query(f"""WITH b AS (SELECT * FROM (VALUES {_IN}) v(status)), r AS (SELECT CASE WHEN status IN (SELECT status FROM b) THEN status ELSE 'other' END AS status, ml_generation_status AS ml FROM run_meta)
+SELECT b.status, count(r.status) AS n, count(*) FILTER (WHERE r.ml = 'done' AND b.status = 'success') AS n_ml_done, count(*) FILTER (WHERE starts_with(r.ml, 'skipped') AND b.status = 'success') AS n_ml_skipped,
+count(*) FILTER (WHERE r.status IS NOT NULL AND b.status = 'success' AND coalesce(r.ml, 'unknown') <> 'done' AND NOT starts_with(coalesce(r.ml, 'unknown'), 'skipped')) AS n_ml_errors FROM b LEFT JOIN r USING (status) GROUP BY 1
+UNION ALL SELECT 'total', count(*), count(*) FILTER (WHERE ml = 'done' AND status = 'success'), count(*) FILTER (WHERE starts_with(ml, 'skipped') AND status = 'success'), count(*) FILTER (WHERE status = 'success' AND coalesce(ml, 'unknown') <> 'done' AND NOT starts_with(coalesce(ml, 'unknown'), 'skipped')) FROM r""")
 def run_status_summary(s, d):
+    """Runs by status, each bucket with its row even if it is empty, and in total; model generation counts within successful runs."""
     status = F.when(F.col("status").isin(*STATUSES), F.col("status")).otherwise("other")
-    return table(s, d, "run_meta").groupBy(status.alias("status")).agg(F.count("*").alias("n"), F.count_if(F.col("ml_generation_status") == "done").alias("n_ml_done"), F.count_if(F.col("ml_generation_status") == "skipped").alias("n_ml_skipped"))
+    ml, good = F.coalesce("ml_generation_status", F.lit("unknown")), F.col("status") == "success"
+    done, skipped = ml == "done", ml.startswith("skipped")
+    r = table(s, d, "run_meta").withColumn("status", status)
+    counts = [F.count("*").alias("n"), F.count_if(done & good).alias("n_ml_done"), F.count_if(skipped & good).alias("n_ml_skipped"), F.count_if(good & ~done & ~skipped).alias("n_ml_errors")]
+    buckets = s.createDataFrame([(x,) for x in STATUSES], "status string")
+    per = buckets.join(r.groupBy("status").agg(*counts), "status", "left").fillna(0)
+    return per.unionByName(r.agg(*counts).select(F.lit("total").alias("status"), "n", "n_ml_done", "n_ml_skipped", "n_ml_errors"))
 
 
-_TOKENS = "CAST(nullif(regexp_extract(usage_metadata, '''{k}'': (\\d+)', 1), '') AS BIGINT)"
-_USE = f"(SELECT *, {_TOKENS.format(k='input_tokens')} AS i, {_TOKENS.format(k='output_tokens')} AS o FROM run_meta)"
+_J = "try_cast(replace(usage_metadata, '''', chr(34)) AS JSON)"
+_FIRST = "list_filter(json_keys(j), k -> regexp_matches(coalesce(j ->> k ->> 'input_tokens', ''), '^-?[0-9]+$') AND regexp_matches(coalesce(j ->> k ->> 'output_tokens', ''), '^-?[0-9]+$'))[1]"
+_USE = f"(SELECT *, CAST(j ->> m ->> 'input_tokens' AS BIGINT) AS i, CAST(j ->> m ->> 'output_tokens' AS BIGINT) AS o FROM (SELECT *, {_FIRST} AS m FROM (SELECT *, {_J} AS j FROM run_meta)))"
 
 
 def _usage(s, d):
-    """First stage with both token counts of each run; a dict as text reads as JSON with single quotes."""
+    """Token counts of each run: those of its first entry that has both as whole numbers."""
     r = table(s, d, "run_meta")
-    t = lambda k: F.nullif(F.regexp_extract("usage_metadata", rf"'{k}': (\d+)", 1), F.lit("")).cast("long")
-    return r.withColumns({"i": t("input_tokens"), "o": t("output_tokens")})
+    return r.withColumn("_u", first_usage(r.columns)).withColumns({"i": F.col("_u.i"), "o": F.col("_u.o")}).drop("_u")
+
 
+def first_usage(columns):
+    """The first counted entry of usage_metadata, or else of usage_metadata_stage1 where there is such a column; a dict as text reads as JSON with single quotes."""
+    read = lambda c: F.map_entries(F.from_json(c, "map<string,struct<input_tokens:string,output_tokens:string>>", {"allowSingleQuotes": "true"}))
+    whole = lambda e: e["value"]["input_tokens"].rlike(r"^-?\d+$") & e["value"]["output_tokens"].rlike(r"^-?\d+$")
+    first = lambda c: F.get(F.transform(F.filter(read(c), whole), lambda e: F.struct(e["value"]["input_tokens"].cast("long").alias("i"), e["value"]["output_tokens"].cast("long").alias("o"))), F.lit(0))
+    main = F.nullif(F.col("usage_metadata"), F.lit(""))
+    return first(F.coalesce(main, F.col("usage_metadata_stage1")) if "usage_metadata_stage1" in columns else main)
 
-@query(f"SELECT model_name, sum(i) AS input_tokens, sum(o) AS output_tokens, count(i) AS n_counted, count(*) - count(i) AS n_skipped, round(sum(i) / 1e6 * 2.5 + sum(o) / 1e6 * 10, 6) AS cost FROM {_USE} GROUP BY 1")
+
+@query(f"""SELECT model_name, sum(i) AS input_tokens, sum(o) AS output_tokens, count(i) AS n_counted, count(*) - count(i) AS n_skipped, round(sum(i) / 1e6 * 2.5 + sum(o) / 1e6 * 10, 6) AS cost,
+round((sum(i) / 1e6 * 2.5 + sum(o) / 1e6 * 10) / nullif(count(i), 0), 6) AS cost_per_run FROM {_USE} GROUP BY 1""")
 def token_cost(s, d):
+    """Tokens and cost by model, and the cost of an average counted run."""
+    cost = F.sum("i") / 1e6 * 2.5 + F.sum("o") / 1e6 * 10
     return _usage(s, d).groupBy("model_name").agg(
         F.sum("i").alias("input_tokens"), F.sum("o").alias("output_tokens"), F.count("i").alias("n_counted"), (F.count("*") - F.count("i")).alias("n_skipped"),
-        F.round(F.sum("i") / 1e6 * 2.5 + F.sum("o") / 1e6 * 10, 6).alias("cost"))
+        F.round(cost, 6).alias("cost"), F.round(F.try_divide(cost, F.count("i")), 6).alias("cost_per_run"))
 
 
 @query(f"SELECT paper_name, run_id, started_at, CAST(sum(coalesce(i, 0)) OVER (PARTITION BY paper_name ORDER BY started_at, run_id, file RANGE UNBOUNDED PRECEDING) AS BIGINT) AS running_input FROM (SELECT DISTINCT paper_name, run_id, started_at, file, i FROM {_USE} WHERE paper_name IS NOT NULL)")
@@ -399,9 +410,9 @@ def paper_names(s, d):
     return table(s, d, "run_meta").where("file is not null").select("file", F.split(X.stem(F.col("file")), "_")[0].alias("paper")).distinct()
 
 
-@query("SELECT r.file, r.error_message, count(*) AS n FROM run_meta r WHERE r.status LIKE '%error%' AND EXISTS (SELECT 1 FROM tree_raw t WHERE t.paper_name = r.paper_name) GROUP BY ALL")
+@query("SELECT r.file, r.error_message, count(*) AS n FROM run_meta r WHERE r.status = 'worker_error' AND EXISTS (SELECT 1 FROM tree_raw t WHERE t.paper_name = r.paper_name) GROUP BY ALL")
 def failed_with_graph(s, d):
-    bad = table(s, d, "run_meta").where("status like '%error%'")
+    bad = table(s, d, "run_meta").where("status = 'worker_error'")
     return bad.join(table(s, d, "tree_raw").select("paper_name"), "paper_name", "left_semi").groupBy("file", "error_message").agg(F.count("*").alias("n"))
 
 
@@ -423,13 +434,13 @@ def auto_limit(s, d):
 # --- text -----------------------------------------------------------------------------------------
 
 
-@query("SELECT text_id, length(trim(replace(replace(replace(replace(replace('​ ' || full_text || ' ☐', '<!-- PageBreak -->', ''), '☐', ''), '☒', ''), '​', ''), '﻿', ''), ' \n\t    ')) AS n FROM paper_text WHERE length(full_text) > 0")
+@query("SELECT text_id, md5(trim(replace(replace(replace(replace(replace('​ ' || full_text || ' ☐', '<!-- PageBreak -->', ''), '☐', ''), '☒', ''), '​', ''), '﻿', ''), ' \n\t    ')) AS m FROM paper_text WHERE length(full_text) > 0")
 def clean_control(s, d):
     marked = F.concat(F.lit("​ "), "full_text", F.lit(" ☐"))
-    return table(s, d, "paper_text").where(F.length("full_text") > 0).select("text_id", F.length(X.clean_control(marked)).cast("long").alias("n"))
+    return table(s, d, "paper_text").where(F.length("full_text") > 0).select("text_id", F.md5(X.clean_control(marked)).alias("m"))
 
 
-@query("SELECT text_id, md5(regexp_replace(regexp_replace(regexp_replace(full_text, '<!-- PageFooter.*?-->', '', 'g'), '<!-- PageHeader.*?-->', '', 'g'), '<!-- PageNumber.*?-->', '', 'g')) AS m FROM paper_text")
+@query("SELECT text_id, md5(regexp_replace(regexp_replace(regexp_replace(full_text, '<!--\\s*PageFooter=.*?-->', '', 'g'), '<!--\\s*PageHeader=.*?-->', '', 'g'), '<!--\\s*PageNumber=.*?-->', '', 'g')) AS m FROM paper_text")
 def strip_comments(s, d):
     return table(s, d, "paper_text").select("text_id", F.md5(X.strip_page_comments(F.col("full_text"))).alias("m"))
 
@@ -449,9 +460,9 @@ def ligatures(s, d):
     return table(s, d, "paper_text").select("text_id", F.md5(X.plain_ligatures(F.col("full_text"))).alias("m"))
 
 
-@query("SELECT record_id, nullif(trim(regexp_extract(payload, '```json\\s*\n((?s:.*?))\n```', 1), ' \n'), '') IS NOT NULL AS has_block FROM tree_raw WHERE payload IS NOT NULL")
+@query("SELECT record_id, md5(nullif(trim(regexp_extract(payload, '```json\\s*\n((?s:.*?))\n```', 1), ' \n'), '')) AS block FROM tree_raw WHERE payload IS NOT NULL")
 def fenced_json(s, d):
-    return table(s, d, "tree_raw").where("payload is not null").select("record_id", X.fenced(F.col("payload"), "json").isNotNull().alias("has_block"))
+    return table(s, d, "tree_raw").where("payload is not null").select("record_id", F.md5(X.fenced(F.col("payload"), "json")).alias("block"))
 
 
 @query("SELECT quantity_id, try_cast(trim(value) AS DOUBLE) AS number FROM node_quantities")
@@ -465,20 +476,3 @@ def try_number(s, d):
 def unit_convert(s, d):
     q = lambda v, kind, a, b: U.convert(F.col("value"), F.lit(kind), F.lit(a), F.lit(b)).alias(v)
     return table(s, d, "events").select("event_id", q("kelvin", "temperature", "degC", "K"), q("kg", "mass", "g", "kg"), q("ml_min", "flow_rate", "mL/s", "mL/min"))
-
-
-@query("SELECT engine, count(*) AS n, count(*) FILTER (WHERE coalesce(length(full_text), 0) < 100) AS n_image FROM paper_text GROUP BY 1")
-def image_pdf_detect(s, d):
-    return table(s, d, "paper_text").groupBy("engine").agg(F.count("*").alias("n"), F.count_if(F.coalesce(F.length("full_text"), F.lit(0)) < 100).alias("n_image"))
-
-
-@query("SELECT l_orderkey, string_agg(CAST(l_partkey AS VARCHAR) || ':' || CAST(l_suppkey AS VARCHAR), '|' ORDER BY l_linenumber, l_partkey, l_suppkey) AS line FROM lineitem GROUP BY 1")
-def table_grid(s, d):
-    """Cells in order of row and column, joined by pipes."""
-    cell = F.struct("l_linenumber", "l_partkey", "l_suppkey")
-    return table(s, d, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(cell)), lambda x: F.concat_ws(":", x["l_partkey"].cast("string"), x["l_suppkey"].cast("string"))), "|").alias("line"))
-
-
-@query("SELECT p_partkey AS key, p_name AS name, NULL::DOUBLE AS acctbal FROM part UNION ALL BY NAME SELECT s_suppkey AS key, s_acctbal AS acctbal, NULL::VARCHAR AS name FROM supplier")
-def features_union(s, d):
-    return table(s, d, "part").selectExpr("p_partkey AS key", "p_name AS name").unionByName(table(s, d, "supplier").selectExpr("s_suppkey AS key", "s_acctbal AS acctbal"), allowMissingColumns=True)
