@@ -94,7 +94,7 @@ def _whole(word: str, script: str) -> bool:
 
 def suspicious(text: str) -> bool:
     """True if the text may hold a character that its consistent form changes."""
-    return not text.isascii() and bool(_SUSPECT.search(text))
+    return not text.isascii() and not _SUSPECTS.isdisjoint(set(text))
 
 
 def _suspect_class() -> str:
@@ -103,7 +103,7 @@ def _suspect_class() -> str:
     return "[" + "".join(f"\\x{{{ord(c):04x}}}" for c in chars) + r"\x{ff10}-\x{ff5a}\x{fb00}-\x{fb06}\x{1d400}-\x{1d7ff}\x{2102}-\x{2134}\x{0132}\x{0133}\x{01c4}-\x{01cc}\x{01f1}-\x{01f3}\p{Mn}]"
 
 
-_SUSPECT = re.compile("[" + "".join(re.escape(c) for c in sorted(PROTOTYPE)) + "\u0300-\u036f]")
+_SUSPECTS = frozenset(PROTOTYPE) | {chr(c) for c in range(0x300, 0x370)}
 
 
 @F.pandas_udf(T.StructType([T.StructField("clean", T.StringType()), T.StructField("skeleton", T.StringType())]))

@@ -13,6 +13,7 @@ of it is cut off.  The second pass reads the texts with the decisions at hand.
 
 from __future__ import annotations
 
+import functools
 import math
 import random
 import re
@@ -55,6 +56,7 @@ _HEADING = re.compile(r"^\s*(?:\d+\.(?:\d+\.?)*\s+[A-ZÄÖÜ一-鿿][\w ]{0,30}|
 _WORD = re.compile(r"[^\s,;:()\[\]<>=\"。，；：（）、]+")
 _HAN = re.compile(r"[一-鿿]")
 _HYPHEN = re.compile(r"([^\W\d_][-¬])\s*$")
+_MARKUP, _VOLUME, _NO_LETTERS = re.compile(r"<!--\s*Page\w+=|-->"), re.compile(r"\bvol\b\.?"), re.compile(r"[\W\d_]+")
 _BLANKS = re.compile(r"\s+")
 _NUMBER = re.compile(r"[\d.–%]+")
 _DIGIT = re.compile(r"\d")
@@ -66,13 +68,20 @@ FIVE, THREE, PAIR = "\t", "\v", "\n"
 # --- reading a text --------------------------------------------------------------------------------
 
 
+@functools.lru_cache(maxsize=200_000)
 def shape(word: str) -> str:
     return _DIGIT.sub("9", word.strip(".?!'`*"))
 
 
 def header_key(line: str) -> str:
     """Letters of a line, without its number, its mark-up and the word for volume."""
-    return re.sub(r"vol$", "", re.sub(r"[\W\d_]+", "", re.sub(r"<!--\s*Page\w+=|-->|\bvol\b\.?", "", line).casefold()))
+    if "<" in line:
+        line = _MARKUP.sub("", line)
+    key = line.casefold()
+    if "vol" in key:
+        key = _VOLUME.sub("", key)
+    key = _NO_LETTERS.sub("", key)
+    return key[:-3] if key.endswith("vol") else key
 
 
 def page_lines(lines: list[str]) -> set[int]:
@@ -257,7 +266,7 @@ class Perceptron:
         for _ in range(EPOCHS):
             rng.shuffle(examples)
             for options, gold in examples:
-                guess = max(range(len(options)), key=lambda k: self.score(options[k]))
+                guess = max(range(len(options)), key=lambda k, options=options: self.score(options[k]))
                 if guess != gold:
                     for side, d in ((gold, 1.0), (guess, -1.0)):
                         for f in options[side]:
