@@ -18,37 +18,57 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Letters of other scripts and the Latin letters they look like.
-CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТУХЬаеѕіјорсухһԁԛԝҮӀ", "ABESIJKMHOPCTYXbaesijopcyxhdqwYl", strict=True))
-GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοϲ", "ABEZHIKMNOPTYXoc", strict=True))
+CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТУХЬҮԚԜѴаеѕіјорсухһԁԛԝүѵӀӏ", "ABESIJKMHOPCTYXbYQWVaesijopcyxhdqwyvll", strict=True))
+GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿοϲϳ", "ABEZHIKMNOPTYXCJocj", strict=True))
 #: Greek letters that only look Latin within a Latin word, as they stand for themselves elsewhere.
 GREEK_INSIDE = dict(zip("αινρυκγ", "aivpuky", strict=True))
+ARMENIAN = dict(zip("ՍՏՕԼօսհյցոզ", "USOLouhjgnq", strict=True))
+CHEROKEE = dict(zip("ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᏒᏚᎢᏙᎳᏃᎥ", "ABCDEGHJKLMPRSTVWZi", strict=True))
+LISU = dict(zip("ꓮꓐꓚꓓꓰꓝꓖꓧꓲꓙꓗꓡꓟꓠꓳꓑꓣꓢꓔꓴꓦꓪꓫꓬꓜ", "ABCDEFGHIJKLMNOPRSTUVWXYZ", strict=True))
+#: Latin letters of other alphabets that look like plain ones.
+LATIN = dict(zip("ɑɡıȷɩʋ", "agijiu", strict=True))
+SCRIPTS = {"Cyrillic": ("Ѐ-ԯ", CYRILLIC), "Greek": ("Ͱ-Ͽ", GREEK), "Armenian": ("\u0530-\u058f", ARMENIAN), "Cherokee": ("\u13a0-\u13fd", CHEROKEE), "Lisu": ("\ua4d0-\ua4ff", LISU)}
 HYPHENS = "\u2010\u2011\u2043\ufe63\uff0d"
-SPACES = "\u00a0\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f"
-INVISIBLE = "\u00ad\u034f\u061c\u180e\u200b\u200c\u200d\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u2060\u2061\u2062\u2063\u2064\ufeff"
+SPACES = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u2028\u2029"
+#: The wide space of Chinese text is ordinary beside Chinese characters.
+WIDE_SPACE = "\u3000"
+INVISIBLE = (
+    "\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b\u180c\u180d\u180e\u200b\u200c\u200d\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u2060\u2061\u2062\u2063\u2064\u2065\u2066\u2067\u2068\u2069"
+    "\u206a\u206b\u206c\u206d\u206e\u206f\u3164\ufeff\uffa0\ufff9\ufffa\ufffb" + "".join(map(chr, [*range(0xFE00, 0xFE10), *range(0xE0000, 0xE0080), *range(0xE0100, 0xE01F0)]))
+)
 
 
 def _compatible() -> dict[str, str]:
-    """Letters and digits in other code points (full-width, mathematical, joined), by Unicode's own decompositions."""
+    """Letters and digits in other code points, by rules over all of Unicode.
+
+    Full-width, mathematical, Roman and joined ones decompose into plain ones;
+    raised, lowered, circled and squared ones look different and don't count.
+    Small capitals look like small letters where these have the same shape.
+    """
     out = {}
-    for first, last in ((0xFF10, 0xFF5A), (0xFB00, 0xFB06), (0x1D400, 0x1D7FF), (0x2102, 0x2134), (0x0132, 0x0133), (0x01C4, 0x01CC), (0x01F1, 0x01F3)):
-        for cp in range(first, last + 1):
-            plain = unicodedata.normalize("NFKC", chr(cp))
-            if plain != chr(cp) and plain.isascii() and plain.isalnum() and "SUP" not in unicodedata.decomposition(chr(cp)).upper():
-                out[chr(cp)] = plain
+    for cp in range(0x80, 0x20000):
+        c = chr(cp)
+        tag = unicodedata.decomposition(c).partition(" ")[0]
+        plain = unicodedata.normalize("NFKC", c)
+        if plain != c and plain.isascii() and plain.isalnum() and tag not in ("<super>", "<sub>", "<circle>", "<square>", "<fraction>"):
+            out[c] = plain
+        name = unicodedata.name(c, "")
+        if name.startswith("LATIN LETTER SMALL CAPITAL ") and len(letter := name.rsplit(" ", 1)[1]) == 1 and name.count(" ") == 4:
+            out[c] = letter.lower() if letter in "COSUVWXZ" else letter
     return out
 
 
 COMPATIBLE = _compatible()
-ALWAYS = COMPATIBLE | {c: "-" for c in HYPHENS} | {c: " " for c in SPACES} | {c: "" for c in INVISIBLE}
-PROTOTYPE = ALWAYS | CYRILLIC | GREEK | GREEK_INSIDE
+ALWAYS = COMPATIBLE | LATIN | {c: "-" for c in HYPHENS} | {c: " " for c in SPACES} | {c: "" for c in INVISIBLE}
+LOOK = {k: v for _, table in SCRIPTS.values() for k, v in table.items()}
+PROTOTYPE = ALWAYS | LOOK | GREEK_INSIDE | {WIDE_SPACE: " "}
 _ALWAYS, _PROTOTYPE = str.maketrans(ALWAYS), str.maketrans(PROTOTYPE)
-_LOOK = str.maketrans(CYRILLIC | GREEK)
-_INSIDE = str.maketrans(CYRILLIC | GREEK | GREEK_INSIDE)
-_FOREIGN = re.compile(r"[Ͱ-ϿЀ-ԯ]")
+_LOOK, _INSIDE = str.maketrans(LOOK), str.maketrans(LOOK | GREEK_INSIDE)
+_FOREIGN = re.compile(f"[{''.join(r for r, _ in SCRIPTS.values())}]")
 _WORD = re.compile(r"[^\W\d_]+")
 _LATIN = re.compile(r"[A-Za-zÀ-ɏ]")
-_SCRIPT_RUN = {"Cyrillic": re.compile(r"[Ѐ-ԯ]"), "Greek": re.compile(r"[Ͱ-Ͽ]")}
-_OWN = {"Cyrillic": re.compile(f"[Ѐ-ԯ]*[^\\W\\d_{''.join(CYRILLIC)}A-Za-z]"), "Greek": re.compile(f"[^{''.join(GREEK)}]")}
+_HAN = re.compile(r"[一-鿿]")
+_SCRIPT_RUN = {s: re.compile(f"[{r}]") for s, (r, _) in SCRIPTS.items()}
 
 
 def skeleton(text: str) -> str:
@@ -59,17 +79,20 @@ def skeleton(text: str) -> str:
 def consistent(text: str) -> str:
     """The text in its one consistent form; unchanged if all in it is ordinary.
 
-    A word that mixes Latin letters with look-alikes becomes Latin.  A word of
-    nothing but look-alikes does too, unless the text has words of that script
-    that can't be Latin.  Single Greek letters stay as they are, except capitals
-    and omicron beside Latin letters or digits.
+    The form of a word is its skeleton, composed again, unless the word is
+    ordinary in its own script: a word that mixes Latin letters with look-alikes
+    takes it; a word of nothing but look-alikes does too, unless the text has
+    words of that script that can't be Latin.  Single Greek letters stay as they
+    are, except capitals and omicron beside Latin letters or digits.
     """
     if text.isascii():
         return text
     out = unicodedata.normalize("NFC", text.translate(_ALWAYS))
+    if WIDE_SPACE in out and not _HAN.search(out):
+        out = out.replace(WIDE_SPACE, " ")
     if not _FOREIGN.search(out):
         return out
-    own = {s: any(_whole(w, s) for w in _WORD.findall(out)) for s in _OWN if _SCRIPT_RUN[s].search(out)}
+    own = {s: any(_whole(w, s) for w in _WORD.findall(out)) for s, run in _SCRIPT_RUN.items() if run.search(out)}
 
     def plain(m: re.Match) -> str:
         if not _FOREIGN.search(m.group()):
@@ -79,8 +102,7 @@ def consistent(text: str) -> str:
             flat = w[:1].translate(_LOOK) + w[1:-1].translate(_INSIDE) + w[-1:].translate(_LOOK)
         else:
             flat = w.translate(_LOOK)
-            script = "Cyrillic" if _SCRIPT_RUN["Cyrillic"].search(w) else "Greek"
-            if own[script] or any(_FOREIGN.match(c) for c in flat):
+            if _FOREIGN.search(flat) or any(own.get(s) and run.search(w) for s, run in _SCRIPT_RUN.items()):
                 return m.group()
         return unicodedata.normalize("NFC", flat)
 
@@ -97,10 +119,10 @@ def suspicious(text: str) -> bool:
     return not text.isascii() and not _SUSPECTS.isdisjoint(set(text))
 
 
-def _suspect_class() -> str:
-    """A pattern of the characters that the table or a composition could change."""
-    chars = sorted(set(PROTOTYPE) - set(COMPATIBLE))
-    return "[" + "".join(f"\\x{{{ord(c):04x}}}" for c in chars) + r"\x{ff10}-\x{ff5a}\x{fb00}-\x{fb06}\x{1d400}-\x{1d7ff}\x{2102}-\x{2134}\x{0132}\x{0133}\x{01c4}-\x{01cc}\x{01f1}-\x{01f3}\p{Mn}]"
+def suspect(c: Column) -> Column:
+    """``suspicious`` by built-in functions: the text is shorter without such characters. Null is not suspect."""
+    gone = F.translate(c, "".join(sorted(_SUSPECTS)), "")
+    return F.coalesce(c.rlike(r"[^\x00-\x7f]") & (F.length(gone) < F.length(c)), F.lit(False))
 
 
 _SUSPECTS = frozenset(PROTOTYPE) | {chr(c) for c in range(0x300, 0x370)}
@@ -119,10 +141,10 @@ def unify(df: DataFrame, text: str) -> DataFrame:
     text is itself.  Columns of these names are replaced.
     """
     df = df.drop("clean", "skeleton", "touched")
-    suspect = F.coalesce(F.col(text).rlike(_suspect_class()), F.lit(False))
-    odd = df.where(suspect).withColumn("_u", _unify(F.col(text))).select(*df.columns, "_u.clean", "_u.skeleton")
+    may = suspect(F.col(text))
+    odd = df.where(may).withColumn("_u", _unify(F.col(text))).select(*df.columns, "_u.clean", "_u.skeleton")
     odd = odd.withColumn("touched", F.col("clean") != F.col(text))
-    even = df.where(~suspect).select("*", F.col(text).alias("clean"))
+    even = df.where(~may).select("*", F.col(text).alias("clean"))
     even = even.withColumn("skeleton", F.when(~F.col(text).rlike(r"[^\x00-\x7f]"), F.col(text)).otherwise(_decomposed(F.col(text)))).withColumn("touched", F.lit(False))
     return odd.unionByName(even)
 
@@ -134,8 +156,7 @@ def _decomposed(texts: pd.Series) -> pd.Series:
 
 def touched(df: DataFrame, text: str, *keep: str) -> DataFrame:
     """Key columns of the rows whose text is not in its consistent form."""
-    suspect = F.coalesce(F.col(text).rlike(_suspect_class()), F.lit(False))
-    found = df.where(suspect).select(*keep, text).withColumn("_u", _unify(F.col(text)))
+    found = df.where(suspect(F.col(text))).select(*keep, text).withColumn("_u", _unify(F.col(text)))
     # Exact check: a skeleton that differs makes a candidate; ordinary words in their own script drop out.
     return found.where((F.col("_u.skeleton") != F.col(text)) & (F.col("_u.clean") != F.col(text))).select(*keep)
 
@@ -155,7 +176,7 @@ def look_alikes(df: DataFrame, text: str) -> DataFrame:
 
 def folded(c: Column) -> Column:
     """Look-alikes to Latin by built-in functions alone, for names that are compared, not kept."""
-    one = {k: v for k, v in (CYRILLIC | GREEK | ALWAYS).items() if len(v) == 1 and len(k) == 1 and ord(k) < 0x10000}
+    one = {k: v for k, v in (LOOK | ALWAYS | {WIDE_SPACE: " "}).items() if len(v) == 1}
     gone = INVISIBLE
     for k, v in COMPATIBLE.items():
         if len(v) > 1 and k in "ﬀﬁﬂﬃﬄﬅﬆ":
