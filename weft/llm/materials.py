@@ -108,9 +108,9 @@ def aliases(reference: DataFrame) -> DataFrame:
 
 
 def _combinations(m: DataFrame) -> DataFrame:
-    """Every metal of the list with every anion of the list: one row per metal, exploded over the set of anions."""
-    anions = m.groupBy(F.lit(1).alias("k")).agg(F.collect_set("anion").alias("anions"))
-    return m.select("metal", "symbol").distinct().withColumn("k", F.lit(1)).join(F.broadcast(anions), "k").select("metal", "symbol", F.explode("anions").alias("anion"))
+    """Every metal of the list with every anion of the list; the anions, a few words, become one constant."""
+    anions = sorted(r["anion"] for r in m.select("anion").distinct().collect())
+    return m.select("metal", "symbol").distinct().select("metal", "symbol", F.explode(F.array(*[F.lit(a) for a in anions]) if anions else F.array().cast("array<string>")).alias("anion"))
 
 
 def variants(names: DataFrame) -> DataFrame:
@@ -155,7 +155,8 @@ def near(left: DataFrame, aliases: DataFrame) -> DataFrame:
     segs = _segments(aliases)
     shape = segs.select("len", "k", "i", "at", F.length("seg").alias("width")).distinct()
     shapes = shape.groupBy("len").agg(F.collect_list(F.struct("k", "i", "at", "width")).alias("parts"))
-    v = left.select("variant", F.length("variant").alias("n")).distinct()
+    # Variants are short, but each makes many substrings: they are spread over all cores before that.
+    v = left.select("variant", F.length("variant").alias("n")).distinct().repartition(left.sparkSession.sparkContext.defaultParallelism, "variant")
     v = v.select("variant", "n", F.explode(F.sequence(F.col("n") - MAX_EDITS, F.col("n") + MAX_EDITS)).alias("len")).where("len > 0")
     v = v.join(shapes, "len").select("variant", "n", "len", F.inline("parts")).where("abs(n - len) <= k")
     low = F.greatest(F.lit(0), F.expr("at - i"), F.expr("at + n - len - (k - i)"))
@@ -200,4 +201,4 @@ def map_names(nodes: DataFrame, reference: DataFrame) -> DataFrame:
     rows = nodes.where("type = 'chemical' and name is not null").select("row_id", "name")
     found = match(rows.groupBy("name").agg(F.count("*").alias("n")), reference)
     listed = reference.select("material_id", "canonical_name")
-    return rows.join(found, "name").join(F.broadcast(listed), "material_id", "left").select("row_id", "name", "material_id", "canonical_name", F.coalesce(F.col("name") == F.col("canonical_name"), F.lit(False)).alias("exact"))
+    return rows.join(found, "name").join(listed, "material_id", "left").select("row_id", "name", "material_id", "canonical_name", F.coalesce(F.col("name") == F.col("canonical_name"), F.lit(False)).alias("exact"))
