@@ -47,11 +47,11 @@ def fenced(c: Column, kind: str) -> Column:
 
 
 def tables_to_rows(c: Column) -> Column:
-    """Body rows of the first plain HTML table as pipe-separated text; null without a table."""
-    body = F.nullif(F.regexp_extract(c, r"(?s)<table>(.*?)</table>", 1), F.lit(""))
-    rows = F.regexp_extract_all(body, F.lit(r"(?s)<tr>(.*?)</tr>"), 1)
+    """The text with every plain HTML table (``<table>`` without attributes) as lines of cells with pipes between; other text stays."""
+    parts = F.split(c, "(?s)(?=<table>)|(?<=</table>)")
     cells = lambda r: F.array_join(F.transform(F.regexp_extract_all(r, F.lit(r"(?s)<t[dh][^>]*>(.*?)</t[dh]>"), 1), lambda x: F.trim(F.regexp_replace(x, r"<[^>]+>", ""))), "|")
-    return F.array_join(F.transform(rows, cells), "\n")
+    rows = lambda t: F.array_join(F.transform(F.regexp_extract_all(t, F.lit(r"(?s)<tr[^>]*>(.*?)</tr>"), 1), cells), "\n")
+    return F.array_join(F.transform(parts, lambda t: F.when(t.startswith("<table>") & t.endswith("</table>"), F.concat(F.lit("<table>\n"), rows(t), F.lit("\n</table>"))).otherwise(t)), "")
 
 
 def formula_base(c: Column) -> Column:

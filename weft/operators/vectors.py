@@ -14,6 +14,8 @@ from weft.session import cut
 
 #: Query vectors that are sent to the tasks at a time.
 BLOCK = 4096
+#: Pairs whose components a single task finds.
+IN_A_TASK = 200_000
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, key: str = "vec_id", vec: str = "embedding") -> DataFrame:
@@ -59,12 +61,37 @@ def similar_pairs(queries: DataFrame, vectors: DataFrame, k: int = 10, threshold
     return near.groupBy(F.least("query_id", key).alias("i"), F.greatest("query_id", key).alias("j")).agg(F.max("sim").alias("sim"))
 
 
+def _united(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Components of a few pairs, all in one task: the least member of each is its root."""
+    root: dict = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for batch in batches:
+        for x, y in zip(batch["x"].tolist(), batch["y"].tolist(), strict=True):
+            p, q = find(x), find(y)
+            root[max(p, q)] = min(p, q)
+    ids = list(root)
+    if ids:
+        yield pd.DataFrame({"id": ids, "root": [find(x) for x in ids]})
+
+
 def components(pairs: DataFrame, a: str = "i", b: str = "j") -> DataFrame:
     """The least member of each member's connected component: id, root.
 
-    Each round takes the least label among neighbours, then the label's own
-    label, so that chains halve; labels are tables in the shared folder.
+    Up to ``IN_A_TASK`` pairs go through one task.  For more, each round takes the
+    least label among neighbours, then the label's own label, so that chains
+    halve; labels are tables in the shared folder.  Results are the same.
     """
+    few = cut(pairs.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x is not null and y is not null").distinct())
+    kind = dict(few.dtypes)["x"]
+    if few.count() <= IN_A_TASK:
+        return few.coalesce(1).mapInPandas(_united, f"id {kind}, root {kind}")
+    pairs = few.toDF(a, b)
     links = cut(pairs.select(F.col(a).alias("x"), F.col(b).alias("y")).unionByName(pairs.select(F.col(b).alias("x"), F.col(a).alias("y"))).distinct())
     state = cut(links.groupBy(F.col("x").alias("id")).agg(F.least(F.col("x"), F.min("y")).alias("root")))
     while True:

@@ -107,13 +107,13 @@ def tested_left(s, d):
     return G.with_tests(nodes(s, d), edges(s, d))
 
 
-@query("""WITH c AS (SELECT DISTINCT paper_name, catalyst_id, trim(source_id) AS id FROM tree_edges WHERE lower(trim(type)) = 'tested_in' AND trim(source_id) <> '')
-SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM tree_edges e WHERE lower(trim(e.type)) LIKE 'synthesis_%' AND e.paper_name = c.paper_name AND e.catalyst_id = c.catalyst_id AND (trim(e.source_id) = c.id OR trim(e.target_id) = c.id))""")
-def test_only_chemicals(s, d):
-    e = edges(s, d).select(*TREE, F.lower(strip("type")).alias("type"), strip("source_id").alias("source_id"), strip("target_id").alias("target_id"))
-    tested = e.where("type = 'tested_in' and source_id <> ''").select(*TREE, F.col("source_id").alias("id")).distinct()
-    made = e.where("type like 'synthesis_%'").select(*TREE, F.explode(F.array("source_id", "target_id")).alias("id")).distinct()
-    return join_on(tested, made, [*TREE, "id"], "left_anti")
+@query("""SELECT DISTINCT paper_name, catalyst_id, trim(id) AS id FROM tree_nodes n WHERE type = 'chemical' AND trim(id) <> '' AND NOT EXISTS (SELECT 1 FROM tree_edges e WHERE starts_with(lower(trim(e.type)), 'synthesis_')
+AND e.paper_name IS NOT DISTINCT FROM n.paper_name AND e.catalyst_id IS NOT DISTINCT FROM n.catalyst_id AND (trim(e.source_id) = trim(n.id) OR trim(e.target_id) = trim(n.id)))""")
+def chemicals_outside_steps(s, d):
+    """Chemicals that no step takes in or puts out: what merging of sections would add."""
+    made = edges(s, d).where(F.lower(strip("type")).startswith("synthesis_")).select(*TREE, F.explode(F.array(strip("source_id"), strip("target_id"))).alias("id")).distinct()
+    own = nodes(s, d).where("type = 'chemical'").select(*TREE, strip("id").alias("id")).where("id <> ''").distinct()
+    return join_on(own, made, [*TREE, "id"], "left_anti")
 
 
 @query("""SELECT n.row_id, CASE WHEN EXISTS (SELECT 1 FROM tree_edges e WHERE lower(trim(e.type)) = 'tested_in' AND e.paper_name = n.paper_name AND e.catalyst_id = n.catalyst_id AND trim(e.source_id) = trim(n.id))
@@ -369,7 +369,7 @@ def run_status_summary(s, d):
 
 
 _J = "try_cast(replace(usage_metadata, '''', chr(34)) AS JSON)"
-_FIRST = "list_filter(json_keys(j), k -> regexp_matches(coalesce(j ->> k ->> 'input_tokens', ''), '^-?[0-9]+$') AND regexp_matches(coalesce(j ->> k ->> 'output_tokens', ''), '^-?[0-9]+$'))[1]"
+_FIRST = "list_filter(json_keys(j), lambda k: regexp_matches(coalesce(j ->> k ->> 'input_tokens', ''), '^-?[0-9]+$') AND regexp_matches(coalesce(j ->> k ->> 'output_tokens', ''), '^-?[0-9]+$'))[1]"
 _USE = f"(SELECT *, CAST(j ->> m ->> 'input_tokens' AS BIGINT) AS i, CAST(j ->> m ->> 'output_tokens' AS BIGINT) AS o FROM (SELECT *, {_FIRST} AS m FROM (SELECT *, {_J} AS j FROM run_meta)))"
 
 

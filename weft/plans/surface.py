@@ -49,9 +49,9 @@ AND EXISTS (SELECT 1 FROM n WHERE n.paper_name IS NOT DISTINCT FROM x.paper_name
 QUALIFY row_number() OVER (PARTITION BY x.paper_name, x.catalyst_id, trim(x.source_id), trim(x.target_id), {_REL} ORDER BY x.loaded_at DESC, x.row_id DESC) = 1)"""
 
 
-@query(f"WITH {_KG} SELECT paper_name, catalyst_id, id, label, name, level FROM n")
+@query(f"WITH {_KG} SELECT paper_name, catalyst_id, id, label, name, coalesce(level, -1) AS level FROM n")
 def kg_nodes(s, d):
-    return K.kg_nodes(_nodes(s, d)).drop("attrs")
+    return K.kg_nodes(_nodes(s, d)).drop("attrs").fillna(-1, ["level"])
 
 
 @query(f"WITH {_KG}, {_RELS} SELECT * FROM e")
@@ -265,10 +265,10 @@ def _target_tree(s, d):
     return T.target_tree(n.select(*TREE, "id", "type"), e, targets)
 
 
-@query(_TREES + "SELECT * FROM g UNION SELECT o.paper_name, o.catalyst_id, o.target_id, o.id, n.type, part, NULL FROM o JOIN n ON n.paper_name = o.paper_name AND n.catalyst_id = o.catalyst_id AND n.id = o.id AND n.type = o.part")
+@query(_TREES + "SELECT * REPLACE (coalesce(level, 0) AS level) FROM g UNION SELECT o.paper_name, o.catalyst_id, o.target_id, o.id, n.type, part, 0 FROM o JOIN n ON n.paper_name = o.paper_name AND n.catalyst_id = o.catalyst_id AND n.id = o.id AND n.type = o.part")
 def target_trees(s, d):
     """Nodes of each tested target's tree, with levels of steps, tests and characterizations."""
-    return _target_tree(s, d)[0]
+    return _target_tree(s, d)[0].fillna(0, ["level"])
 
 
 @query(_TREES + "SELECT m.paper_name, m.catalyst_id, m.target_id, e.row_id, 'synthesis' AS part FROM m JOIN e ON e.paper_name = m.paper_name AND e.catalyst_id = m.catalyst_id AND e.target_id = m.id WHERE e.type NOT IN ('tested_in', 'characterized_in') UNION ALL SELECT paper_name, catalyst_id, target_id, row_id, part FROM o")
@@ -317,9 +317,9 @@ def image_pages(s, d):
     return Y.image_pages(pages, "text_id")
 
 
-@query("""WITH c AS (SELECT text_id, k.line_no - 1 AS r, unnest(string_split(line, ' | ')) AS cell, generate_subscripts(string_split(line, ' | '), 1) - 1 AS c FROM (SELECT text_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS line_no FROM (SELECT text_id, list_filter(string_split(full_text, chr(10)), x -> contains(x, ' | ') AND NOT contains(x, '"')) AS lines FROM paper_text)) k),
+@query("""WITH c AS (SELECT text_id, k.line_no - 1 AS r, unnest(string_split(line, ' | ')) AS cell, generate_subscripts(string_split(line, ' | '), 1) - 1 AS c FROM (SELECT text_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS line_no FROM (SELECT text_id, list_filter(string_split(full_text, chr(10)), lambda x: contains(x, ' | ') AND NOT contains(x, '"')) AS lines FROM paper_text)) k),
 m AS (SELECT text_id, max(r) AS rs, max(c) AS cs FROM c GROUP BY 1), g AS (SELECT text_id, unnest(generate_series(0, rs)) AS r, cs FROM m), h AS (SELECT text_id, r, unnest(generate_series(0, cs)) AS c FROM g),
-l AS (SELECT h.text_id, h.r, string_agg(coalesce(cell, ''), '|' ORDER BY h.c) AS line FROM h LEFT JOIN c ON c.text_id = h.text_id AND c.r = h.r AND c.c = h.c GROUP BY ALL)
+l AS (SELECT h.text_id, h.r, string_agg(CASE WHEN contains(cell, '|') THEN '"' || cell || '"' ELSE coalesce(cell, '') END, '|' ORDER BY h.c) AS line FROM h LEFT JOIN c ON c.text_id = h.text_id AND c.r = h.r AND c.c = h.c GROUP BY ALL)
 SELECT text_id, string_agg(line, chr(10) ORDER BY r) || chr(10) AS text FROM l GROUP BY 1""")
 def table_grid(s, d):
     """The table lines of each text as a grid of cells."""
@@ -349,7 +349,7 @@ def joined_blocks(s, d):
     return Y.joined_blocks(b, "text_id").select("text_id", F.md5("text").alias("m"))
 
 
-@query("SELECT text_id, array_to_string(list_filter(string_split(full_text, chr(10)), x -> length(x) > 1 AND regexp_matches(x, '^\\p{Lu}')), '|') AS titles FROM paper_text WHERE full_text IS NOT NULL")
+@query("SELECT text_id, array_to_string(list_filter(string_split(full_text, chr(10)), lambda x: length(x) > 1 AND regexp_matches(x, '^\\p{Lu}')), '|') AS titles FROM paper_text WHERE full_text IS NOT NULL")
 def title_lines(s, d):
     return table(s, d, "paper_text").where("full_text is not null").select("text_id", F.array_join(Y.titles(F.split("full_text", "\n")), "|").alias("titles"))
 

@@ -50,13 +50,26 @@ def cut(df: DataFrame) -> DataFrame:
     Cuts the lineage and survives the loss of executors; unlike checkpoint files
     the table is compressed and columns that nobody reads cost nothing.
     """
-    path = f"{shared_folder(df.sparkSession)}/weft-{df.sparkSession.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    folder = f"{shared_folder(df.sparkSession)}/weft-{df.sparkSession.sparkContext.applicationId}"
+    _swept_at_the_end(df.sparkSession, folder)
+    path = f"{folder}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._weft_path = path
     return out
 
 
+def _swept_at_the_end(spark: SparkSession, folder: str) -> None:
+    """Have the application's tables deleted when it ends; results are lazy, so none can go before."""
+    sc = spark.sparkContext
+    if getattr(sc, "_weft_swept", None) != folder:
+        p = sc._jvm.org.apache.hadoop.fs.Path(folder)
+        fs = p.getFileSystem(sc._jsc.hadoopConfiguration())
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+        sc._weft_swept = folder
+
+
 def forget(*tables: DataFrame) -> None:
     """Delete tables made by ``cut`` that no later plan reads."""
     for df in tables:

@@ -47,19 +47,36 @@ def write_tsv(df: DataFrame, path: str) -> None:
 
 
 def feature_spec(spark: SparkSession, path: str) -> DataFrame:
-    """Lines ``name | type | description`` under section lines that end in a colon: section, pos, name, type, description."""
-    with open(path, encoding="utf-8") as f:
-        lines = [x.strip() for x in f if x.strip()]
+    """Lines ``name | type | description`` under section lines that end in a colon: section, pos, name, type, description.
+
+    A first line with a bar is a head and drops out.  The file, a short list, is
+    read by Spark, wherever it lies.
+    """
+    text = "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
+    lines = [x.strip() for x in text.splitlines() if x.strip()]
     rows, section = [], ""
-    for line in lines:
+    for k, line in enumerate(lines):
         if line.endswith(":") and "|" not in line:
             section = line[:-1]
-        elif "|" in line:
+        elif "|" in line and k:
             parts = [p.strip() for p in line.split("|", 2)] + ["", ""]
             rows.append((section, len(rows), *parts[:3]))
     return spark.createDataFrame(rows, "section string, pos int, name string, type string, description string")
 
 
+#: Sections of which a graph file must have at least one.
+GRAPH_SECTIONS = ("synthesis", "testing", "catgraph_tree")
+
+
+def checked_graphs(graphs_: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Graphs that can be read and have a section of ``GRAPH_SECTIONS``, and the others: record_id, paper_name, reason."""
+    m = J.with_plain_json(graphs_.withColumn("_raw", F.col("payload")), "payload").withColumn("_m", J.members(F.col("payload")))
+    has = F.exists(F.map_keys("_m"), lambda k: k.isin(*GRAPH_SECTIONS))
+    reason = F.when(F.col("_m").isNull(), "can't be read").when(~has, "has no section")
+    m = m.withColumn("reason", reason).withColumn("payload", F.col("_raw"))
+    return m.where("reason is null").select(*graphs_.columns), m.where("reason is not null").select("record_id", "paper_name", "reason")
+
+
 def patterns(entries: dict | list) -> dict[str, str]:
     """Patterns and the names they stand for, from a mapping or a list of records; invalid patterns are left out."""
     if isinstance(entries, dict):
