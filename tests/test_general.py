@@ -70,7 +70,7 @@ def random_tree(seed, n=60):
 
 
 @pytest.mark.parametrize("seed", range(3))
-@pytest.mark.parametrize("hot", [300_000, -10**9, 4])
+@pytest.mark.parametrize("hot", [20_000, -10**9, 4])
 def test_orphans(spark, monkeypatch, seed, hot):
     monkeypatch.setattr(O, "HOT_ROWS", hot)
     nodes, edges = random_tree(seed)

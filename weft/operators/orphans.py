@@ -3,7 +3,8 @@
 Parents and children come together in one tagged long form, which is grouped by
 parent table and key.  The groups are small summaries, combined before the
 shuffle, so a key that holds a third of all rows costs no more than any other.
-Keys of ordinary size are grouped where they are, in one shuffle.  Of hot keys only
+Keys of ordinary size are grouped with their rows, in one shuffle, and groups with
+a parent that was there all along are dropped as they are.  Of larger keys only
 the groups that can hold an orphan at all are joined back to their references.
 """
 
@@ -20,7 +21,7 @@ KEY = ["paper_name", "catalyst_id", "key"]
 #: a child without a time sees everything.
 FIRST, LAST = "0001-01-01 00:00:00", "9999-12-31 00:00:00"
 #: Hash buckets of keys; rows of one key that a task takes; parts that the rows of larger keys are split into when they are joined.
-BUCKETS, HOT_ROWS, PARTS = 65_536, 300_000, 64
+BUCKETS, HOT_ROWS, PARTS = 65_536, 20_000, 64
 
 
 def _ts(c: str, otherwise: str):
@@ -87,16 +88,20 @@ def _by_groups(parents: DataFrame, children: DataFrame) -> DataFrame:
     return plain.unionByName(gone)
 
 
-def _by_window(parents: DataFrame, children: DataFrame) -> DataFrame:
-    """Orphans among keys that fit a task: one shuffle of the tagged long form, grouped by key."""
-    tagged = parents.select(*KEY, "ts", F.lit(0).alias("kind"), "rid", "op").unionByName(
-        children.select(*KEY, "ts", F.lit(1).alias("kind"), F.col("row_id").alias("rid"), "side", "loaded_at"), allowMissingColumns=True
-    )
-    group = W.partitionBy(*KEY)
-    so_far = group.orderBy("ts", "kind", "rid").rowsBetween(W.unboundedPreceding, 0)
-    seen = tagged.select("*", F.last("op", ignorenulls=True).over(so_far).alias("op_then"), F.min("kind").over(group).alias("least"))
-    reason = F.when(F.col("op_then") == "delete", "deleted").when(F.col("op_then").isNotNull(), None).when(F.col("least") == 0, "late").otherwise("missing")
-    return seen.where("kind = 1").select(F.col("rid").alias("row_id"), "side", reason.alias("reason"), "loaded_at").where("reason is not null")
+def _in_groups(parents: DataFrame, children: DataFrame) -> DataFrame:
+    """Orphans among keys that fit a task: the tagged long form grouped by key; groups that can hold an orphan are opened again."""
+    parent, child = F.struct("ts", "rid", "op"), F.struct("ts", "row_id", "side", "loaded_at")
+    tagged = parents.select(*KEY, parent.alias("p")).unionByName(children.select(*KEY, child.alias("c")), allowMissingColumns=True)
+    groups = tagged.groupBy(*KEY).agg(F.collect_list("p").alias("ps"), F.collect_list("c").alias("cs"))
+    lacking = (F.size("ps") == 0) | F.exists("ps", lambda p: p["op"] == "delete") | (F.array_min("ps")["ts"] > F.array_min("cs")["ts"])
+
+    def judged(c):
+        seen = F.filter("ps", lambda p: p["ts"] <= c["ts"])
+        reason = F.when(F.size("ps") == 0, "missing").when(F.size(seen) == 0, "late").when(F.array_max(seen)["op"] == "delete", "deleted")
+        return F.struct(c["row_id"].alias("row_id"), c["side"].alias("side"), reason.alias("reason"), c["loaded_at"].alias("loaded_at"))
+
+    ends = F.when((F.size("cs") > 0) & lacking, F.filter(F.transform("cs", judged), lambda x: x["reason"].isNotNull()))
+    return groups.select(F.inline(ends))
 
 
 def _bucket():
@@ -122,9 +127,9 @@ def orphan_ends(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     limit = sum(r["count"] for r in sizes) / BUCKETS + HOT_ROWS / 2
     hot = [r["b"] for r in sizes if r["count"] > limit]
     if not hot:
-        return _by_window(parents, children)
+        return _in_groups(parents, children)
     is_hot = _bucket().isin(hot)
-    return _by_window(parents.where(~is_hot), children.where(~is_hot)).unionByName(_by_groups(parents.where(is_hot), children.where(is_hot)))
+    return _in_groups(parents.where(~is_hot), children.where(~is_hot)).unionByName(_by_groups(parents.where(is_hot), children.where(is_hot)))
 
 
 def orphans_by_period(orphans: DataFrame, parent_table: str, child_table: str) -> DataFrame:
