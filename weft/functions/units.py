@@ -94,7 +94,8 @@ def tidy(c: Column) -> Column:
     u = F.regexp_replace(u, r"\bper\b\s*", "/")
     u = F.regexp_replace(u, r"[\s.·*]*\b([A-Za-zµ]+)\s?-1\b", "/$1")
     u = F.regexp_replace(u, r"\s*/\s*", "/")
-    return F.when(whole, t).otherwise(F.regexp_replace(u, r"^1/", "/"))
+    # A form of letters alone is what it is; only the others are worked on.
+    return F.when(whole | ~t.rlike(r"[\s/^.·*\-]|per"), t).otherwise(F.regexp_replace(u, r"^1/", "/"))
 
 
 def constant_map(d: dict, kind: str) -> Column:

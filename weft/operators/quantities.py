@@ -51,7 +51,7 @@ def number(c: Column) -> Column:
     t = F.regexp_replace(F.translate(c, "−×*·", "-xxx"), r"\s?x\s?10\^?", "e")
     t = F.regexp_replace(t, r"(?<=[1-9]|[1-9]\d|[1-9]\d\d|\d[ ,]\d{3})[ ,](?=\d{3}(?:\D|$))", "")
     t = F.regexp_replace(F.regexp_replace(t, ",", "."), " ", "")
-    return t.try_cast("double")
+    return F.when(c.rlike(PLAIN), c.try_cast("double")).otherwise(t.try_cast("double"))
 
 
 def _words(c: Column) -> Column:
@@ -65,16 +65,17 @@ def _parsed(df: DataFrame) -> DataFrame:
     """Numbers ``lo`` and ``hi`` of ``value`` and the text after them, ``inner`` (the unit, if there is one)."""
     t = F.col("_t")
     df = df.withColumn("_t", F.regexp_replace(F.translate(F.col("value"), "     　", "      "), r"^\s+|\s+$", ""))
-    df = df.withColumn("_t", _words(F.regexp_replace(t, ABOUT, "")))
+    # Most values are plain numbers: one test tells, and the patterns are left alone.
+    df = df.withColumn("_p", F.coalesce(t.rlike(PLAIN), F.lit(False))).withColumn("_t", F.when(F.col("_p"), t).otherwise(_words(F.regexp_replace(t, ABOUT, ""))))
     how, patterns = F.col("_how"), {"mixed": MIXED, "span": SPAN, "twice": TWICE, "single": SINGLE}
-    df = df.withColumn("_how", F.coalesce(*[F.when(t.rlike(p), k) for k, p in patterns.items()]))
+    df = df.withColumn("_how", F.when(F.col("_p"), "plain").otherwise(F.coalesce(*[F.when(t.rlike(p), k) for k, p in patterns.items()])))
 
     def part(**group: int) -> Column:
         return F.coalesce(*[F.when(how == k, F.regexp_extract(t, patterns[k], g)) for k, g in group.items()])
 
-    df = df.withColumn("_a", part(mixed=1, span=1, twice=1, single=1)).withColumn("_b", part(mixed=3, span=2, twice=3))
+    df = df.withColumn("_a", F.when(how == "plain", t).otherwise(part(mixed=1, span=1, twice=1, single=1))).withColumn("_b", part(mixed=3, span=2, twice=3))
     df = df.withColumn("_u1", part(mixed=2, twice=2)).withColumn("inner", part(mixed=4, span=3, twice=4, single=2))
-    df = df.withColumn("lo", number(F.col("_a"))).withColumn("hi", F.coalesce(number(F.col("_b")), F.when(how == "single", F.col("lo"))))
+    df = df.withColumn("lo", number(F.col("_a"))).withColumn("hi", F.coalesce(number(F.col("_b")), F.when(how.isin("single", "plain"), F.col("lo"))))
     return df
 
 
