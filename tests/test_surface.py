@@ -202,6 +202,19 @@ def test_features(spark):
     assert got == {("1", 0, "1", "2", None), ("1", 1, "3", None, None)}
 
 
+@pytest.mark.parametrize(("cell", "y"), [("12.5 %", 12.5), ("10-20", 15.0), ("10 to 20 nm", 15.0), ("2:4", 0.5), ("none", None), ("", None), (None, None), ("-3", -3.0), ("1e-3", 0.001), ("5:0", None)])
+def test_numbers_of_cells(spark, cell, y):
+    from weft.operators.features import plain_number
+
+    assert one(spark, cell, plain_number) == (pytest.approx(y) if y is not None else None)
+
+
+def test_times(spark):
+    ts = lambda x: F.lit(x).cast("timestamp")
+    row = spark.range(1).select(X.took(ts("2024-01-01 00:00:00"), ts("2024-01-01 00:01:00.5")), X.is_fresh(ts("2024-01-01 00:00:00"), ts("2024-01-01 01:00:00"), 3600), X.is_fresh(ts(None), ts("2024-01-01 00:00:00"), 9)).first()
+    assert tuple(row) == (60.5, True, False)
+
+
 def test_jobs(spark, tmp_path, small):
     from weft import jobs
 

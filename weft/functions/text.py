@@ -90,3 +90,13 @@ def stem(c: Column) -> Column:
 def answer(c: Column) -> Column:
     """A model's short answer without quotes, stars and dashes around it."""
     return F.regexp_replace(c, "^['\"*\\- ]+|['\"*\\- ]+$", "")
+
+
+def took(start: Column, end: Column) -> Column:
+    """Seconds from start to end, with fractions; null if either is missing."""
+    return (F.unix_micros(end) - F.unix_micros(start)) / 1e6
+
+
+def is_fresh(made: Column, now: Column, seconds: int) -> Column:
+    """Whether what was made at a time is at most so many seconds old."""
+    return F.coalesce(took(made, now) <= seconds, F.lit(False))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.functions import text as X
@@ -23,3 +23,12 @@ def feature_cells(answers: DataFrame, key: str = "run_id", answer: str = "answer
 def feature_table(cells: DataFrame, columns: list[str], key: str = "run_id") -> DataFrame:
     """Wide form with the asked columns; a column that an answer lacks is null."""
     return cells.groupBy(key, "row").pivot("column", columns).agg(F.first("value"))
+
+
+def plain_number(c: Column) -> Column:
+    """A feature's cell as a number: the first number in it, or the middle of a range; a ratio ``a:b`` is a over b, a text without a number is null."""
+    num = r"[-+]?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?"
+    t = F.translate(c, "−–—", "---")
+    part = lambda p, k: F.nullif(F.regexp_extract(t, p, k), F.lit("")).try_cast("double")
+    ratio, span = rf"^\s*({num})\s*:\s*({num})\s*$", rf"({num})\s*(?:-|to|~)\s*({num})"
+    return F.when(t.rlike(ratio), F.try_divide(part(ratio, 1), part(ratio, 2))).when(t.rlike(span), (part(span, 1) + part(span, 2)) / 2).otherwise(part(rf"({num})", 1))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from weft.functions.names import filled, join_on, strip
+from weft.session import cut
 
 KEY = ["paper_name", "catalyst_id", "key"]
 #: Stand-ins for absent times: a parent without a time was there from the start,
@@ -123,9 +124,9 @@ def orphan_ends(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     The list of such buckets is bounded by ``BUCKETS``; results are the same.
     """
     parents, children = parent_keys(nodes), child_keys(edges)
-    sizes = parents.select(_bucket().alias("b")).unionByName(children.select(_bucket().alias("b"))).groupBy("b").count().collect()
-    limit = sum(r["count"] for r in sizes) / BUCKETS + HOT_ROWS / 2
-    hot = [r["b"] for r in sizes if r["count"] > limit]
+    sizes = cut(parents.select(_bucket().alias("b")).unionByName(children.select(_bucket().alias("b"))).groupBy("b").count())
+    limit = (sizes.agg(F.sum("count")).first()[0] or 0) / BUCKETS + HOT_ROWS / 2
+    hot = [r["b"] for r in sizes.where(F.col("count") > limit).select("b").collect()]
     if not hot:
         return _in_groups(parents, children)
     is_hot = _bucket().isin(hot)
