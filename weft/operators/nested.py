@@ -69,9 +69,9 @@ def _valued(opened: Column) -> Column:
     return F.transform(hits, lambda x: F.struct(F.substring(x["path"], F.lit(2), F.length(x["path"])).alias("path"), get(x, "name").alias("name"), get(x, "value").alias("value"), get(x, "unit").alias("unit")))
 
 
-def valued_objects(body: Column) -> Column:
-    """Objects with a member ``value`` below the object in ``body``: array of (path, name, value, unit)."""
-    first = _opened(F.array(F.struct(F.lit("").alias("path"), body.alias("t"))))
+def valued_objects(body: Column, m: Column) -> Column:
+    """Objects with a member ``value`` below the object in ``body``, whose members ``m`` are: array of (path, name, value, unit)."""
+    first = F.array(F.struct(F.lit("").alias("path"), m.alias("m"), F.lit(None).cast("array<string>").alias("a")))
     start = F.struct(first.cast(_OPEN).alias("level"), F.array().cast(_FOUND).alias("found"))
     levels = F.sequence(F.lit(0), F.length(body) - F.length(F.translate(body, "{[", "")))
     step = lambda acc, _: F.when(F.size(acc["level"]) == 0, acc).otherwise(F.struct(
@@ -90,7 +90,7 @@ def quantities(raw: DataFrame) -> DataFrame:
     no rows; repeated records come out once each; a null id stays null; further
     columns of ``raw`` are ignored.
     """
-    found = owners(raw).select("record_id", "section", "owner", "owner_id", "pos", F.inline(valued_objects(F.col("body"))))
+    found = owners(raw).select("record_id", "section", "owner", "owner_id", "pos", F.inline(valued_objects(F.col("body"), F.col("m"))))
     return found.withColumn("holder", F.substring_index("path", "/", 1)).withColumn(
         "name", F.coalesce("name", F.element_at(F.filter(F.split("path", "/"), lambda p: ~p.rlike(r"^\d+$")), -1))
     ).select("record_id", "section", "owner", "owner_id", "pos", "path", "holder", "name", "value", "unit")
