@@ -228,7 +228,10 @@ def lineage_levels(s, d):
     return L.levels(_lineage(s, d), nodes(s, d).select(*TREE, strip("id").alias("id"), "type"))
 
 
-@query()
+@query(_REACH.format(most=120) + f""", {_STEPS}, lv AS (SELECT paper_name, catalyst_id, target_id, id, row_number() OVER (PARTITION BY paper_name, catalyst_id, target_id ORDER BY dist DESC, id) AS level FROM m JOIN n USING (paper_name, catalyst_id, id)),
+nm AS (SELECT paper_name, catalyst_id, trim(id) AS id, max(name) AS name FROM tree_nodes GROUP BY ALL), inp AS ({_ENDS.format(near="target_id", far="source_id", kind="synthesis_input").replace("'|'", "', '")})
+SELECT lv.paper_name, lv.catalyst_id, target_id, string_agg('Step ' || level || ': ' || coalesce(nm.name, 'N/A') || chr(10) || '  Inputs: ' || coalesce(nullif(inp.names, ''), 'N/A'), chr(10) ORDER BY level) AS scenario
+FROM lv LEFT JOIN nm USING (paper_name, catalyst_id, id) LEFT JOIN inp ON inp.paper_name = lv.paper_name AND inp.catalyst_id = lv.catalyst_id AND inp.step_id = lv.id GROUP BY ALL""")
 def scenario_text(s, d):
     n = nodes(s, d).select(*TREE, strip("id").alias("id"), "type", "name")
     return L.rendered(L.levels(_lineage(s, d), n), n, G.step_ends(nodes(s, d), edges(s, d), "synthesis_input"))
