@@ -44,6 +44,12 @@ _STATEMENT = re.compile(r"(?<=[.?!])\s+|(?<=[。！？])")
 _HOST = re.compile(r"(?:https?://|www\.|doi\.org/|@)([\w.-]+\.[a-z]{2,})", re.I)
 
 
+def hosts(statement: str) -> list[str]:
+    """Hosts of the addresses in a statement, lower case; most statements have no mark of one and are not searched."""
+    low = statement.lower()
+    return _HOST.findall(low) if "@" in low or "http" in low or "www." in low or "doi.org/" in low else []
+
+
 def paragraphs(text: str) -> list[list[str]]:
     """Statements of each paragraph."""
     return [s for p in re.split(r"\n\s*\n", text) if (s := [x for x in _STATEMENT.split(p.replace("\n", " ")) if x.strip()])]
@@ -53,7 +59,7 @@ def terms(statement: str) -> set[str]:
     """Runs of one to ``LONGEST`` words (or Chinese characters), lower case; hosts of addresses as ``@host``."""
     w = _TOKEN.findall(statement.casefold())
     out = {" ".join(w[j : j + n]) for n in range(1, LONGEST + 1) for j in range(len(w) - n + 1)}
-    return out | {"@" + h.lower() for h in _HOST.findall(statement)}
+    return out | {"@" + h for h in hosts(statement)}
 
 
 def level(treat: int, n: int) -> int:
@@ -87,7 +93,7 @@ class Reader:
                     passing = True
                 else:
                     found.add(s)
-        addr = [self.hosts[h] for h in {x.lower() for x in _HOST.findall(statement)} if h in self.hosts] if self.hosts and "." in statement else []
+        addr = [self.hosts[h] for h in set(hosts(statement)) if h in self.hosts] if self.hosts else []
         return found.union(addr), passing, addr
 
 
