@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 
 import numpy as np
 import pytest
@@ -113,6 +114,68 @@ def test_merge_plan(spark):
     assert {tuple(r) for r in K.contract_materials(links, plan).collect()} == {("x", 1), ("y", 4), ("z", 99)}
 
 
+def _sims(a, b):
+    unit = lambda m: np.array(m) / np.linalg.norm(np.array(m), axis=1, keepdims=True)
+    return np.round(unit(a) @ unit(b).T, 4)
+
+
+def test_merging_searches_only_for_names_that_can_match(spark, small, monkeypatch):
+    """A search for every name did not end in time at 1 GB; all names are still searched through."""
+    from weft.operators import vectors
+    from weft.plans import surface
+
+    sizes, nearest = [], vectors.nearest
+    monkeypatch.setattr(vectors, "nearest", lambda q, v, *a, **kw: (sizes.append((q.count(), v.count())), nearest(q, v, *a, **kw))[1])
+    plan = {r.id: (r.name, r.new_name, r.keep_id) for r in surface.merge_workflow(spark, small).collect()}
+    named = [(r.id, r.name_en) for r in surface._named(spark, small).collect()]
+    plain = [re.sub(r"[\s,\-]+", "", n.lower(), flags=re.ASCII) for _, n in named]
+    assert sizes == [(sum(plain.count(x) > 1 for x in plain), len(named))] and 0 < sizes[0][0] < len(named) / 5
+    embed = hashed_embedder()
+    vec = np.array([np.float32(embed(n)) for _, n in named], dtype="float64")
+    ids = np.array([i for i, _ in named])
+    root = {i: i for i, _ in named}
+    for a, row in enumerate(_sims(vec, vec)):
+        for b in np.lexsort((ids, -row))[:10]:
+            if row[b] >= 0.75 and plain[a] == plain[b] and root[ids[a]] != root[ids[b]]:
+                least = sorted((root[ids[a]], root[ids[b]]))
+                root = {i: least[0] if r == least[1] else r for i, r in root.items()}
+    together = [i for i in root if list(root.values()).count(root[i]) > 1]
+    assert together and all(plan[i][2] == root[i] for i in together)
+
+
+def test_similar_names_count_nearer_ones_that_are_no_match(spark):
+    """A name of the same substance beyond the k nearest is no pair, although the nearer ones are never searched for."""
+    rows = [(1, "zinc-oxide"), (2, "zinc oxide"), (3, "zinc-oxide1"), (4, "zinc-oxide2"), (5, None), (6, " "), (7, "Zinc-Oxide"), (8, "zinc - oxide")]
+    named = spark.createDataFrame(rows, "id long, name_en string")
+    embed = hashed_embedder()
+    given = [(i, n) for i, n in rows if n and n.strip()]
+    vec = [np.float32(embed(n)) for _, n in given]
+    for k in (1, 2, 3, 4, 5):
+        near = {(i, given[b][0]) for (i, n), row in zip(given, _sims(vec, vec), strict=True) if i not in (3, 4) for b in sorted(range(len(given)), key=lambda b: (-row[b], given[b][0]))[:k] if row[b] >= 0.4}
+        assert {(r.i, r.j) for r in K.similar_names(named, hashed_embedder, k, 0.4).collect()} == {(min(p), max(p)) for p in near if p[0] != p[1]}
+    assert K.similar_names(named.where("id = 1"), hashed_embedder).count() == 0 and K.similar_names(named.limit(0), hashed_embedder).count() == 0
+
+
+@pytest.mark.parametrize("floor", [-np.inf, 0.3])
+def test_search_in_small_parts(monkeypatch, floor):
+    """Many vectors, many equal ones and many queries a task: the k best with ties by key, and no more rows than these."""
+    from weft.operators import vectors
+
+    monkeypatch.setattr(vectors, "QUERIES", 7)
+    monkeypatch.setattr(vectors, "VECTORS", 50)
+    monkeypatch.setattr(vectors, "STRIP", 16)
+    rng = np.random.default_rng(3)
+    x, good = vectors._units([*rng.integers(-2, 3, (900, 6)).astype(float), np.zeros(6), np.full(6, np.nan)])
+    keys = rng.permutation(len(x))
+    q, k = x[:20], 4
+    search = vectors._Search(q, k, floor)
+    for at in range(0, len(x), 130):
+        search.add(keys[at : at + 130], x[at : at + 130])
+    got = sorted((int(r), -s, int(o)) for part in search.found() for r, s, o in zip(*part, strict=True))
+    want = [(r, -sims[b], int(keys[b])) for r, sims in enumerate(np.round(np.einsum("ij,kj->ik", q, x), 4)) for b in np.lexsort((keys, -sims))[:k] if sims[b] >= floor]
+    assert got == sorted(want) and not good[-2:].any()
+
+
 def test_sections_are_merged(spark):
     rows = [(1, "synthesis", 0, "a", "chemical", "A"), (1, "synthesis", 1, "a", "chemical", "A again"), (1, "testing", 0, "k", "chemical", "first"), (1, "testing", 1, "k", "chemical", "second"), (1, "testing", 2, "t", "testing", None), (1, "characterization", 0, "k", "chemical", "late"), (1, "characterization", 1, "c", "chemical", "C"), (1, "testing", 3, "a", "chemical", "known"), (1, "testing", 4, None, "chemical", "no id")]
     n = spark.createDataFrame(rows, "record_id long, section string, pos int, id string, type string, name string")

@@ -84,14 +84,12 @@ def import_graphs(spark: SparkSession, o: argparse.Namespace) -> None:
 
 def merge(spark: SparkSession, o: argparse.Namespace) -> None:
     """What becomes of the materials of a table (id, name), and the links after it; a dry run writes the plan alone."""
-    from weft.operators.vectors import similar_pairs
     from weft.session import cut
 
     found = spark.read.parquet(f"{o.tables}/materials.parquet").select("id", "name")
     terms = spark.read.parquet(f"{o.tables}/dictionary.parquet") if o.dictionary else spark.createDataFrame([], "term string, name_en string")
     named = cut(kg.translated(found, terms))
-    vectors = cut(P.embed(named, P.hashed_embedder, "id", "name_en"))
-    plan = cut(kg.merge_plan(named, similar_pairs(vectors, vectors, o.k, o.similarity_threshold, "id")))
+    plan = cut(kg.merge_plan(named, kg.similar_names(named, P.hashed_embedder, o.k, o.similarity_threshold)))
     plan.write.mode("overwrite").parquet(f"{o.output_dir}/plan")
     kg.merge_reduction(plan).write.mode("overwrite").json(f"{o.output_dir}/summary")
     if not o.dry_run:

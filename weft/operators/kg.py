@@ -11,6 +11,7 @@ from weft.functions import text as X
 from weft.functions.names import filled, join_on, strip
 from weft.operators import graph as G
 from weft.operators import lineage as L
+from weft.session import cut
 
 TREE = G.TREE
 #: Members that are not stored as properties, prefixes of flattened members, and edges that import makes itself.
@@ -250,10 +251,31 @@ def translated(names: DataFrame, dictionary: DataFrame) -> DataFrame:
     return names.join(d.withColumnRenamed("term", "name"), "name", "left").select("id", "name", F.coalesce("name_en", "name").alias("name_en"))
 
 
+def _plain(c: Column) -> Column:
+    return F.regexp_replace(F.lower(c), r"[\s,\-]+", "")
+
+
 def same_substance(a: Column, b: Column) -> Column:
     """A rule in place of a model: equal but for case, blanks, hyphens and commas. Blank names are the same as nothing."""
-    plain = lambda c: F.regexp_replace(F.lower(c), r"[\s,\-]+", "")
-    return F.coalesce((plain(a) == plain(b)) & (plain(a) != ""), F.lit(False))
+    return F.coalesce((_plain(a) == _plain(b)) & (_plain(a) != ""), F.lit(False))
+
+
+def similar_names(named: DataFrame, embed, k: int = 10, threshold: float = 0.75) -> DataFrame:
+    """Pairs for ``merge_plan`` among each name's k nearest by vector (itself counts): i, j, sim.
+
+    ``named``: id, name_en.  Nearest ones are looked for among all names, but only
+    for names that ``same_substance`` holds for with some other: no pair of the
+    rest can pass it.
+    """
+    from weft.operators.vectors import similar_pairs
+    from weft.plugins import embed as embed_
+
+    n = int(named.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    vectors = lambda names: cut(embed_(names.select("id", "name_en").repartition(n, "id"), embed, "id", "name_en"))
+    plain = named.select("id", "name_en", _plain(F.col("name_en")).alias("plain"))
+    shared = plain.where("plain <> ''").groupBy("plain").agg(F.count("*").alias("n")).where("n > 1")
+    asked, rest = (vectors(plain.join(shared, "plain", how)) for how in ("left_semi", "left_anti"))
+    return similar_pairs(asked, asked.unionByName(rest), k, threshold, "id")
 
 
 def majority(votes: DataFrame, keys: list[str], vote: str) -> DataFrame:

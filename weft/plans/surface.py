@@ -10,7 +10,6 @@ from weft.operators import graph as G
 from weft.operators import kg as K
 from weft.operators import nested
 from weft.operators import trees as T
-from weft.operators import vectors as V
 from weft.session import cut, table
 
 TREE = ["paper_name", "catalyst_id"]
@@ -221,11 +220,10 @@ def merge_reduction(s, d):
 @query()
 def merge_workflow(s, d):
     """The whole job: translate, embed, pair by vectors, check pairs, cluster, choose a name, merge or rename."""
-    from weft.plugins import embed, hashed_embedder
+    from weft.plugins import hashed_embedder
 
     named = cut(_named(s, d))
-    v = cut(embed(named, hashed_embedder, "id", "name_en"))
-    return K.merge_plan(named, V.similar_pairs(v, v, 10, 0.75, "id"))
+    return K.merge_plan(named, K.similar_names(named, hashed_embedder, 10, 0.75))
 
 
 # --- single papers --------------------------------------------------------------------------------

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from typing import Protocol
 
 import numpy as np
@@ -29,12 +30,17 @@ def echo_client(prompt: str) -> str:
 def hashed_embedder(dim: int = 64) -> Embedder:
     """A stub: character three-grams hashed to a unit vector; blank text gives no vector."""
 
+    @lru_cache(1 << 17)
+    def place(gram: str) -> tuple[int, int]:
+        h = int.from_bytes(hashlib.md5(gram.encode()).digest()[:8], "big")
+        return h % dim, 1 if h >> 63 else -1
+
     def embed(text: str) -> list[float]:
         t = f"  {text.strip().lower()} "
         v = np.zeros(dim)
         for i in range(len(t) - 2):
-            h = int.from_bytes(hashlib.md5(t[i : i + 3].encode()).digest()[:8], "big")
-            v[h % dim] += 1 if h >> 63 else -1
+            at, sign = place(t[i : i + 3])
+            v[at] += sign
         n = np.linalg.norm(v)
         return (v / n).tolist() if n and text.strip() else []
 
